@@ -6,9 +6,9 @@
 2. Bands of registers are keys; classes that share a key are candidates.  At the contract's
    similarity of 0.85 two sets miss all 40 bands of 5 registers with probability 6e-11, at
    0.8 with 1e-7.
-3. Candidates are laid out so that classes sharing keys are neighbours (two rounds of
-   smallest-neighbour labels) and cut into blocks of bounded rows and bytes.  Only pairs of
-   blocks that share a key meet, in one task each: there the pairs with an equal band, a
+3. Candidates are laid out so that classes sharing keys are neighbours and cut into blocks of
+   bounded rows and bytes.  Only pairs of blocks that share a key meet, in one task each
+   that gets only the classes with such a key: there the pairs with an equal band, a
    possible size ratio and a collision-corrected estimate not clearly too low are compared
    on their full sets, and pairs already joined inside the task are skipped.  A task emits
    a spanning forest of its links, never all pairs, so a group of thousands of near copies
@@ -45,7 +45,7 @@ def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            size, one, two, sketch, keys = [], [], [], [], []
+            size, one, two, sketch = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, width)
                 size.append(len(s))
@@ -53,19 +53,24 @@ def _sketches(width: int):
                 with np.errstate(over="ignore"):
                     one.append(mix(s).sum(dtype=np.uint64).astype(np.int64) if len(s) else 0)
                     two.append(mix(s * np.uint64(_splitmix(1) | 1)).sum(dtype=np.uint64).astype(np.int64) if len(s) else 0)
-                regs = registers(s, BANDS * ROWS) if len(s) else np.zeros(0, np.uint16)
-                keys.append(band_keys(regs, ROWS)[1].view(np.int64) if len(s) else regs.astype(np.int64))
-                sketch.append(regs.tobytes())
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            at = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+                sketch.append(registers(s, BANDS * ROWS).tobytes() if len(s) else b"")
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(at, flat)],
-                names=["doc_id", "n", "one", "two", "sketch", "keys"],
+                [ids, pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sketch, pa.binary())],
+                names=["doc_id", "n", "one", "two", "sketch"],
             )
 
     return run
 
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, sketch) -> one row per filled band."""
+    for batch in batches:
+        found = [band_keys(np.frombuffer(s, np.uint16), ROWS)[1] for s in batch.column(1).to_pylist()]
+        nodes = np.repeat(batch.column(0).to_numpy(), [len(k) for k in found])
+        keys = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(keys, pa.int64())], names=["node", "key"])
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,41 +172,42 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     scratch = Scratch(df.sparkSession, "near-duplicates")
     written = scratch.table
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketched = written(docs.mapInArrow(_sketches(width), "doc_id long, n long, one long, two long, sketch binary, keys array<long>"), "sketches")
+    sketched = written(docs.mapInArrow(_sketches(width), "doc_id long, n long, one long, two long, sketch binary"), "sketches")
     taking_part = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     classes = sketched.where(taking_part).groupBy("one", "two", "n").agg(F.min("doc_id").alias("node"))
     named = written(sketched.where(taking_part).select("doc_id", "one", "two", "n").join(classes, ["one", "two", "n"]).select("doc_id", "node"), "classes")
     firsts = named.where("doc_id = node").select("node").distinct()
 
-    own = sketched.where(taking_part).select("doc_id", F.explode("keys").alias("key"))
-    own = own.join(firsts, own.doc_id == firsts.node, "left_semi").distinct()
-    shared = own.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("c")).where("c > 1")
-    members = written(own.join(shared.select("key", "hub"), "key").select("key", "hub", F.col("doc_id").alias("node")), "members")
+    own = sketched.where(taking_part).select(F.col("doc_id").alias("node"), "sketch").join(firsts, "node", "left_semi")
+    own = own.mapInArrow(_keys, "node long, key long").distinct()
+    shared = own.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1")
+    members = written(own.join(shared.select("key", "hub"), "key").select("key", "hub", "node"), "members")
 
-    # Neighbours in sketch space get a common label; it decides the layout, not the links.
-    label = members.groupBy("node").agg(F.min("hub").alias("label"))
-    label = label.join(label.select(F.col("node").alias("label"), F.col("label").alias("up")), "label", "left")
-    label = label.select("node", F.coalesce("up", "label").alias("label"))
+    # Classes that share keys, directly or over others, become neighbours.  This decides the
+    # layout and not the links: a cluster of chance collisions only costs locality.
+    label = connected_components(scratch, members.select("hub", "node").distinct(), "hub", "node")
     sized = label.join(sketched.where(taking_part).select(F.col("doc_id").alias("node"), "n").distinct(), "node")
-    placed = ordered(scratch, sized.select("label", "node", "n"), "label", "node")
+    placed = ordered(scratch, sized.select(F.col("component").alias("label"), "node", "n"), "label", "node")
     laid = placed.select("node", "n", F.col("_part").alias("part"), F.col("_idx").alias("idx"))
     laid = laid.repartition("part").sortWithinPartitions("part", "idx")
     blocks = written(laid.mapInArrow(_blocks, "node long, block long"), "blocks")
 
-    at = written(members.join(blocks, "node").select("key", "block").distinct(), "at")
-    tiles = at.withColumnRenamed("block", "i").join(at.withColumnRenamed("block", "j"), "key").where("i < j").select("i", "j").distinct()
-    same = blocks.select(F.col("block").alias("i"), F.col("block").alias("j")).distinct()
-    tiles = written(same.unionByName(tiles), "tiles")
-
-    full = docs.join(blocks.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", "block", "text")
-    full = full.mapInArrow(_sets(width), "doc_id long, block long, shingles binary")
+    # A class goes to its own block's tile, and to the tile with another block only if it
+    # shares a key with a class of that block.
+    at = written(members.join(blocks, "node").select("key", "node", "block"), "at")
+    spread = at.groupBy("key").agg(F.collect_set("block").alias("others")).where("size(others) > 1")
+    across = at.join(spread, "key").groupBy("node", "block").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others"))
+    across = across.select("node", "block", F.explode(F.array_except("others", F.array("block"))).alias("other"))
+    across = across.select("node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    deals = written(blocks.select("node", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side")).unionByName(across), "deals")
+
+    full = docs.join(blocks.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    full = full.mapInArrow(_sets(width), "doc_id long, shingles binary")
     sketches = sketched.where(taking_part).select("doc_id", "n", "sketch").join(firsts, F.col("doc_id") == F.col("node"), "left_semi")
-    full = written(full.join(sketches, "doc_id").select(F.col("doc_id").alias("node"), "block", "n", "sketch", "shingles"), "sets")
-    left = tiles.select("i", "j", F.lit(0).alias("side"), F.col("i").alias("block"))
-    right = tiles.where("i <> j").select("i", "j", F.lit(1).alias("side"), F.col("j").alias("block"))
-    dealt = left.unionByName(right).join(full, "block").select("i", "j", "side", "node", "n", "sketch", "shingles")
+    full = written(full.join(sketches, "doc_id").select(F.col("doc_id").alias("node"), "n", "sketch", "shingles"), "sets")
+    dealt = deals.join(full, "node").select("i", "j", "side", "node", "n", "sketch", "shingles")
     links = written(dealt.groupBy("i", "j").applyInArrow(_compare(num, den), "a long, b long"), "links")
-    scratch.drop("sets", "members", "ordered", "at")
+    scratch.drop("sets", "members", "ordered", "at", "deals")
 
     comp = connected_components(scratch, links)
     of_class = named.join(comp, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
