@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .hashing import sequence_hash, window_hashes, word_hashes
 
-WIDTH, ANCHOR = 13, 7
+WIDTH, ANCHOR = 13, 5
 _NODE_SEED, _EDGE_SEED, _ANCHOR_SEED, _TEXT_SEED = 11, 12, 13, 14
 
 
@@ -183,26 +183,31 @@ def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     read = scratch.table(docs.mapInArrow(_first_pass(width, anchor), "doc_id long, n_words long, one long, two long, digest string, anchors array<long>"), "read")
     whole = (F.col("n_words") >= width) & F.col("doc_id").isNotNull()
     first = read.where(whole).groupBy("one", "two", "n_words").agg(F.min("doc_id").alias("first"))
-    named = read.where(whole).select("doc_id", "n_words", "one", "two", "anchors").join(first, ["one", "two", "n_words"])
-    named = scratch.table(named.select("doc_id", (F.col("doc_id") != F.col("first")).alias("copy"), F.when(F.col("doc_id") == F.col("first"), F.col("anchors")).alias("anchors")), "named")
+    named = read.join(first, ["one", "two", "n_words"], "left")
+    copy = F.coalesce(whole & (F.col("doc_id") != F.col("first")), F.lit(False))
+    named = scratch.table(named.select("doc_id", "n_words", "digest", copy.alias("copy"), F.when(whole & ~copy, F.col("anchors")).alias("anchors")), "named")
+    scratch.drop("read")
 
-    anchors = named.where("NOT copy").select("doc_id", F.explode("anchors").alias("anchor")).repartition("anchor")
+    anchors = named.select("doc_id", F.explode("anchors").alias("anchor")).repartition("anchor")
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     wanted = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     wanted = scratch.table(wanted, "wanted")
-    copies = named.where("copy").select("doc_id", "copy").distinct()
+    documents = scratch.table(named.drop("anchors"), "documents")
+    scratch.drop("named")
 
     candidates = scratch.table(docs.join(wanted, "doc_id").select("doc_id", "text", "anchors"), "candidates")
-    found = candidates.mapInArrow(_edges(width, anchor), "doc_id long, pos int, tail long, edge long, head long")
-    found = found.repartition("tail")
+    scratch.drop("wanted")
+    found = scratch.table(candidates.mapInArrow(_edges(width, anchor), "doc_id long, pos int, tail long, edge long, head long"), "found")
     edges = found.groupBy("tail", "edge").agg(F.min("head").alias("head"), F.min(F.struct("doc_id", "pos")).alias("s"), F.max("doc_id").alias("hi")).where("s.doc_id < hi")
     edges = edges.select("tail", "edge", "head", F.col("s.doc_id").alias("doc"), F.col("s.pos").alias("pos"))
     edges = scratch.table(edges, "repeated")
     placed = _compacted(scratch, edges)
+    scratch.drop("repeated", "marked")
 
-    later = candidates.mapInArrow(_edges(width, anchor), "doc_id long, pos int, tail long, edge long, head long").drop("head")
-    later = later.join(placed, ["tail", "edge"]).where("doc_id > doc")
+    later = found.drop("head").join(placed, ["tail", "edge"]).where("doc_id > doc")
     later = later.select("doc_id", "pos", "unitig_doc", "unitig_pos", "at", (F.col("at") - F.col("pos")).alias("diagonal"))
+    later = scratch.table(later, "later")
+    scratch.drop("found", "unitigs")
     # A span: consecutive windows of the document at consecutive places of one unitig.
     by = Window.partitionBy("doc_id").orderBy("pos")
     same = (F.col("pos") == F.lag("pos").over(by) + 1) & (F.col("unitig_doc") == F.lag("unitig_doc").over(by)) & (F.col("unitig_pos") == F.lag("unitig_pos").over(by)) & (F.col("diagonal") == F.lag("diagonal").over(by))
@@ -211,8 +216,7 @@ def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     spans = runs.groupBy("doc_id", "start").agg(F.count("*").cast("int").alias("n"), F.first("unitig_doc").alias("unitig_doc"), F.first("unitig_pos").alias("unitig_pos"), F.min("at").alias("offset"))
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").alias("at"), "n", "unitig_doc", "unitig_pos", "offset")).alias("spans"))
     spans = scratch.table(spans, "spans")
-    scratch.drop("marked", "repeated", "unitigs", "wanted")
-    documents = read.select("doc_id", "n_words", "digest").join(copies, "doc_id", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
+    scratch.drop("later")
     return documents, spans, candidates
 
 
