@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import detection
+
+QUERIES: dict = dict(detection.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(detection.ORACLE_SQL)
