@@ -19,7 +19,7 @@ from .merge import merge
 
 #: Model labels and the clinical model's labels.
 MODEL_LABELS = {"PER": "PERSON", "LOC": "LOCATION", "ORG": "ORGANIZATION", "MISC": "MISC"}
-CLINICAL_ADAPTER = {"PATIENT": "PER", "STAFF": "PER", "HOSP": "ORG", "HOSPITAL": "ORG", "AGE": "MISC", "DATE": "MISC", "PHONE": "MISC", "ID": "MISC"}
+CLINICAL_ADAPTER = {"PATIENT": "PER", "HCW": "PER", "HOSPITAL": "ORG", "VENDOR": "ORG", "DATE": "MISC", "ID": "MISC", "PHONE": "MISC"}
 
 
 def mapped(label: Column, table) -> Column:

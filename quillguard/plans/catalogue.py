@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import detection
+from . import detection, evaluation  # noqa: F401  evaluation adds its queries to the registry
 
-QUERIES: dict = dict(detection.QUERIES)
-ORACLE_SQL: dict[str, str] = dict(detection.ORACLE_SQL)
+QUERIES: dict = detection.QUERIES
+ORACLE_SQL: dict[str, str] = detection.ORACLE_SQL

@@ -48,7 +48,8 @@ def query(name: str, oracle: str | None = None):
 
 
 def _exploded(df: DataFrame, column: str = "entities") -> DataFrame:
-    return df.select("id", F.posexplode(column).alias("ord", "e")).select("id", "ord", "e.*")
+    # The outer form: for the inner one Spark infers a filter that evaluates the array twice.
+    return df.select("id", F.posexplode_outer(column).alias("ord", "e")).where("e IS NOT NULL").select("id", "ord", "e.*")
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -218,7 +219,7 @@ def redact_disabled(spark, sf_dir):
 
 @query("mapping_rows", _masked_sql(fixtures.SAMPLES) + " SELECT id, token, span AS original FROM tok")
 def mapping_rows(spark, sf_dir):
-    return redact.redact(samples(spark, sf_dir)).select("id", F.explode("mapping").alias("token", "original"))
+    return redact.redact(samples(spark, sf_dir)).select("id", F.explode_outer("mapping").alias("token", "original")).where("token IS NOT NULL")
 
 
 @query("token_numbering", _masked_sql(fixtures.SAMPLES) + " SELECT id, start, token FROM tok")
