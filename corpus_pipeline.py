@@ -13,6 +13,19 @@ from quillguard.llm import bpe, classifier, mixing, neardup, substring
 from quillguard.llm.common import Scratch
 
 
+def _apart(stage):
+    """The stage with columns that it does not know renamed, so that no name clashes."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        known = {"doc_id", "text", "source", "n_chars"}
+        inner = docs.toDF(*(c if c in known else f"_x_{i}" for i, c in enumerate(docs.columns)))
+        return stage(spark, inner, sf_dir).toDF(*docs.columns)
+
+    run.__name__, run.__doc__ = stage.__name__, stage.__doc__
+    return run
+
+
+@_apart
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is under the cut go."""
     model = classifier.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -20,6 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("_score") >= classifier.SHOWN_CUT).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+@_apart
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays (five words, similarity 0.8)."""
     found = neardup.near_duplicates(docs.select("doc_id", "text"))
@@ -32,6 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return out
 
 
+@_apart
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 13 words or more that an earlier document has are cut out."""
     out = substring.substring_dedup(docs)
@@ -40,6 +55,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+@_apart
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in the order of the mixture: files and rows within them follow it."""
     out = mixing.mix_sources(docs)

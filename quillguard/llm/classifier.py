@@ -124,7 +124,8 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def score(df: DataFrame, model: Ranking, keep: tuple[str, ...], text: str = "text") -> DataFrame:
-    """The columns ``keep`` of ``df`` and ``_score``."""
+    """The columns ``keep`` of ``df`` and ``_score``, which takes the place of such a column."""
+    keep = tuple(c for c in keep if c != "_score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

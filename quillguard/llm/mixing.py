@@ -12,8 +12,8 @@ When a source has no blocks left, the others go on with their weights renormalis
 phase; every row is placed exactly once.
 
 Defined results: a null source is a source of its own; repeated rows are placed each; a source
-missing from the given weights is scheduled in a last phase by size; other columns are kept
-out of the way.
+missing from the given weights is scheduled in a last phase by size; other columns pass
+through, but those of ``ADDED`` names are replaced.
 """
 
 from __future__ import annotations
@@ -32,6 +32,9 @@ BLOCK_ROWS = 16
 PERIOD = 1000
 
 
+ADDED = ("_phase", "_block", "_slot", "_position")
+
+
 def rounded(weights: dict, period: int = PERIOD) -> dict:
     """Integer shares of ``period`` (each at least one) by largest remainder."""
     names = sorted(weights, key=lambda s: (s is not None, s or ""))
@@ -104,7 +107,7 @@ def mix_sources(df: DataFrame, weights: dict | None = None, source: str = "sourc
     the mixture, gapless).  ``weights`` maps sources to target weights; by default a source's
     weight is the square root of its rows, which lifts small sources over a hot one."""
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "mixing")
-    clash = {c: f"_in{i}" for i, c in enumerate(df.columns)}
+    clash = {c: f"_in{i}" for i, c in enumerate(df.columns) if c not in ADDED}
     inner = df.select(*(F.col(f"`{c}`").alias(n) for c, n in clash.items()))
     s, d = clash[source], clash[doc_id]
     placed = ordered(scratch, inner, s, d)

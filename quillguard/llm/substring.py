@@ -230,13 +230,17 @@ def _with_changes(df: DataFrame, doc_id: str, text: str, width: int) -> DataFram
 
 def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """``df`` with repeated passages cut out of ``text``: kept words joined by one space in
-    changed rows, the text as it was in the others; all columns of ``df`` and ``n_removed``."""
+    changed rows, the text as it was in the others; the columns of ``df`` and ``_n_removed``,
+    which takes the place of a column of that name."""
     documents, changed = _with_changes(df, doc_id, text, width)
     cut = changed.select(F.col("doc_id").alias("_doc"), F.col("n_removed").alias("_cut"), F.col("kept_text").alias("_kept"))
     gone = documents.where("copy").select(F.col("doc_id").alias("_doc"), F.col("n_words").alias("_cut"), F.lit("").alias("_kept"))
     cut = cut.unionByName(gone).dropDuplicates(["_doc"])
-    out = df.join(cut, df[doc_id].cast("long") == F.col("_doc"), "left")
-    return out.select(*(F.coalesce("_kept", df[c]).alias(c) if c == text else df[c] for c in df.columns), F.coalesce("_cut", F.lit(0)).alias("_n_removed"))
+    names = [c for c in df.columns if c != "_n_removed"]
+    inner = df.select(*(F.col(f"`{c}`").alias(f"_x{i}") for i, c in enumerate(names)))
+    out = inner.join(cut, F.col(f"_x{names.index(doc_id)}").cast("long") == F.col("_doc"), "left")
+    shown = [F.coalesce("_kept", f"_x{i}").alias(c) if c == text else F.col(f"_x{i}").alias(c) for i, c in enumerate(names)]
+    return out.select(*shown, F.coalesce("_cut", F.lit(0)).alias("_n_removed"))
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
