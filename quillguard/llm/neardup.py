@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, ordered
+from .common import Scratch, connected_components, frugal, ordered
 from .hashing import _splitmix, mix, shingle_set
 from .hyperminhash import EMPTY, band_keys, jaccard_estimate, registers
 
@@ -172,25 +172,29 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     scratch = Scratch(df.sparkSession, "near-duplicates")
     written = scratch.table
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketched = written(docs.mapInArrow(_sketches(width), "doc_id long, n long, one long, two long, sketch binary"), "sketches")
+    sketched = written(docs.mapInArrow(frugal(_sketches(width)), "doc_id long, n long, one long, two long, sketch binary"), "sketches")
     taking_part = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     classes = sketched.where(taking_part).groupBy("one", "two", "n").agg(F.min("doc_id").alias("node"))
     named = written(sketched.where(taking_part).select("doc_id", "one", "two", "n").join(classes, ["one", "two", "n"]).select("doc_id", "node"), "classes")
     firsts = named.where("doc_id = node").select("node").distinct()
 
     own = sketched.where(taking_part).select(F.col("doc_id").alias("node"), "sketch").join(firsts, "node", "left_semi")
-    own = own.mapInArrow(_keys, "node long, key long").distinct()
+    own = own.mapInArrow(frugal(_keys), "node long, key long").distinct()
     shared = own.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1")
     members = written(own.join(shared.select("key", "hub"), "key").select("key", "hub", "node"), "members")
 
     # Classes that share keys, directly or over others, become neighbours.  This decides the
-    # layout and not the links: a cluster of chance collisions only costs locality.
-    label = connected_components(scratch, members.select("hub", "node").distinct(), "hub", "node")
+    # layout and not the links, so two edges a class, to its smallest and its largest hub,
+    # are enough: what they leave apart meets in a cross tile.
+    ends = members.groupBy("node").agg(F.min("hub").alias("low"), F.max("hub").alias("high"))
+    chained = ends.select("node", F.explode(F.array_distinct(F.array("low", "high"))).alias("hub"))
+    joined = connected_components(scratch, chained, "hub", "node")
+    label = ends.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     sized = label.join(sketched.where(taking_part).select(F.col("doc_id").alias("node"), "n").distinct(), "node")
     placed = ordered(scratch, sized.select(F.col("component").alias("label"), "node", "n"), "label", "node")
     laid = placed.select("node", "n", F.col("_part").alias("part"), F.col("_idx").alias("idx"))
     laid = laid.repartition("part").sortWithinPartitions("part", "idx")
-    blocks = written(laid.mapInArrow(_blocks, "node long, block long"), "blocks")
+    blocks = written(laid.mapInArrow(frugal(_blocks), "node long, block long"), "blocks")
 
     # A class goes to its own block's tile, and to the tile with another block only if it
     # shares a key with a class of that block.
@@ -202,7 +206,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     deals = written(blocks.select("node", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side")).unionByName(across), "deals")
 
     full = docs.join(blocks.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    full = full.mapInArrow(_sets(width), "doc_id long, shingles binary")
+    full = full.mapInArrow(frugal(_sets(width)), "doc_id long, shingles binary")
     sketches = sketched.where(taking_part).select("doc_id", "n", "sketch").join(firsts, F.col("doc_id") == F.col("node"), "left_semi")
     full = written(full.join(sketches, "doc_id").select(F.col("doc_id").alias("node"), "n", "sketch", "shingles"), "sets")
     dealt = deals.join(full, "node").select("i", "j", "side", "node", "n", "sketch", "shingles")
