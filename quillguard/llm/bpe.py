@@ -28,8 +28,10 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
+
 #: Remembered fragments and words of a Python worker, in each of two generations.
-MEMORY = 150_000
+MEMORY = 60_000
 #: White space as the library's pattern engine has it.
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -170,7 +172,7 @@ def bpe_encode(df: DataFrame, tokenizer: str, keep: tuple[str, ...] = (), text:
 
     source = df.select(*(F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)), F.col(f"`{text}`").alias("_text"))
     fields = [f"_k{i} {source.schema[f'_k{i}'].dataType.simpleString()}" for i in range(len(keep))]
-    out = source.mapInArrow(run, ", ".join([*fields, "_ids binary", *["_decoded string"] * decoded]))
+    out = source.mapInArrow(frugal(run), ", ".join([*fields, "_ids binary", *["_decoded string"] * decoded]))
     return out.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), "_ids", *["_decoded"] * decoded)
 
 
@@ -190,7 +192,7 @@ def bpe_digest(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
                 b.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")).mapInArrow(frugal(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def bpe_decode(df: DataFrame, tokenizer: str, keep: tuple[str, ...] = (), ids: str = "_ids") -> DataFrame:
@@ -205,7 +207,7 @@ def bpe_decode(df: DataFrame, tokenizer: str, keep: tuple[str, ...] = (), ids: s
 
     source = df.select(*(F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)), F.col(ids).alias("_ids"))
     fields = [f"_k{i} {source.schema[f'_k{i}'].dataType.simpleString()}" for i in range(len(keep))]
-    return source.mapInArrow(run, ", ".join([*fields, "_decoded string"])).select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), "_decoded")
+    return source.mapInArrow(frugal(run), ", ".join([*fields, "_decoded string"])).select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), "_decoded")
 
 
 def word_bpe_path() -> str:

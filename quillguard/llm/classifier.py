@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
 from .quality import Features
 
 FIT_ROWS = 20_000
@@ -118,7 +119,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     marks = marks.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     # At most FIT_ROWS rows of 12 bytes are broadcast.
     chosen = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).join(F.broadcast(marks.select("_id")), "_id", "left_semi")
-    found = chosen.mapInArrow(_featured, "_id long, x array<double>").join(F.broadcast(marks), "_id").select("_id", "x", "_label").orderBy("_id", "x").limit(rows).collect()
+    found = chosen.mapInArrow(frugal(_featured), "_id long, x array<double>").join(F.broadcast(marks), "_id").select("_id", "x", "_label").orderBy("_id", "x").limit(rows).collect()
     x = np.array([r["x"] for r in found], dtype=float).reshape(len(found), N_FEATURES)
     return fit(x, np.array([r["_label"] for r in found], dtype=int))
 
@@ -127,15 +128,19 @@ def score(df: DataFrame, model: Ranking, keep: tuple[str, ...], text: str = "tex
     """The columns ``keep`` of ``df`` and ``_score``, which takes the place of such a column."""
     keep = tuple(c for c in keep if c != "_score")
 
+    n = len(keep)
+    at = keep.index(text) if text in keep else n  # the text travels once
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            x = [features(t) for t in batch.column(at).to_pylist()]
             s = model.score(np.array(x, dtype=float).reshape(len(x), N_FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64())], names=[*batch.schema.names[:-1], "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(s, pa.float64())], names=[*batch.schema.names[:n], "_score"])
 
-    source = df.select(*(F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)), F.col(f"`{text}`").alias("_text"))
-    schema = ", ".join([*(f"_k{i} {source.schema[f'_k{i}'].dataType.simpleString()}" for i in range(len(keep))), "_score double"])
-    return source.mapInArrow(run, schema).select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), "_score")
+    read = keep if at < n else (*keep, text)
+    source = df.select(*(F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(read)))
+    schema = ", ".join([*(f"_k{i} {source.schema[f'_k{i}'].dataType.simpleString()}" for i in range(n)), "_score double"])
+    return source.mapInArrow(frugal(run), schema).select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), "_score")
 
 
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:

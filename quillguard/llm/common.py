@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,35 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[0]
 
 
+#: Rows that a Python worker holds as Python objects at a time.
+SLICE_ROWS = 1000
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system; workers live on and share the executor's limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def frugal(run: Callable) -> Callable:
+    """``run`` (batches to batches) fed in slices, with memory given back after each."""
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, max(batch.num_rows, 1), SLICE_ROWS):
+                yield batch.slice(at, SLICE_ROWS)
+                _give_back()
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(sliced(batches))
+        _give_back()
+
+    return inner
+
+
 class Scratch:
     """Named tables in the shared folder, written once and read back.
 

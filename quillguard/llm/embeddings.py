@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, ordered
+from .common import Scratch, connected_components, frugal, ordered
 
 BLOCK = 4096
 _STRIPE = 512
@@ -125,7 +125,7 @@ def near_duplicate_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str
     scratch = Scratch(df.sparkSession, "vectors")
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(embedding).alias("embedding"))
     kind = rows.schema["label"].dataType.simpleString()
-    packed = scratch.table(rows.mapInArrow(_packed, f"vec_id long, label {kind}, bytes binary"), "packed")
+    packed = scratch.table(rows.mapInArrow(frugal(_packed), f"vec_id long, label {kind}, bytes binary"), "packed")
     usable = packed.where("vec_id IS NOT NULL AND label IS NOT NULL AND bytes IS NOT NULL")
     classes = usable.groupBy("label", "bytes").agg(F.min("vec_id").alias("node"), F.count("*").alias("count"))
     placed = ordered(scratch, classes, "label", "bytes")

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
+
 _SPACES = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
 _NOT_SYMBOL = bytes(b for b in range(256) if b not in _SYMBOLS)
@@ -119,7 +121,7 @@ def measure(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
                 out.append((rule.name, time.thread_time() - at, failed, len(texts)))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["rule", "cost", "failed", "seen"])
 
-    measured = df.select(text).limit(rows).mapInArrow(run, "rule string, cost double, failed long, seen long")
+    measured = df.select(text).limit(rows).mapInArrow(frugal(run), "rule string, cost double, failed long, seen long")
     found = measured.groupBy("rule").agg(F.sum("cost"), F.sum("failed"), F.sum("seen")).collect()
     return [(r, c / max(n, 1), f / max(n, 1)) for r, c, f, n in found]
 
@@ -155,7 +157,7 @@ def cascade(df: DataFrame, order: tuple[Rule, ...], keep: tuple[str, ...] = (),
     source = df.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), F.col(text).alias("_text"))
     kept_types = [f"_k{i} {source.schema[f'_k{i}'].dataType.simpleString()}" for i in range(len(keep))]
     schema = ", ".join([*kept_types, *(f"{r} long" for r in report), "rejected_by string, rules_run int, kept boolean"])
-    out = source.mapInArrow(run, schema)
+    out = source.mapInArrow(frugal(run), schema)
     return out.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), *names)
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, frugal
 from .hashing import sequence_hash, window_hashes, word_hashes
 
 WIDTH, ANCHOR = 13, 5
@@ -180,7 +180,7 @@ def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     have any candidate window."""
     scratch = Scratch(df.sparkSession, "substring")
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    read = scratch.table(docs.mapInArrow(_first_pass(width, anchor), "doc_id long, n_words long, one long, two long, digest string, anchors array<long>"), "read")
+    read = scratch.table(docs.mapInArrow(frugal(_first_pass(width, anchor)), "doc_id long, n_words long, one long, two long, digest string, anchors array<long>"), "read")
     whole = (F.col("n_words") >= width) & F.col("doc_id").isNotNull()
     first = read.where(whole).groupBy("one", "two", "n_words").agg(F.min("doc_id").alias("first"))
     named = read.join(first, ["one", "two", "n_words"], "left")
@@ -197,7 +197,7 @@ def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
     candidates = scratch.table(docs.join(wanted, "doc_id").select("doc_id", "text", "anchors"), "candidates")
     scratch.drop("wanted")
-    found = scratch.table(candidates.mapInArrow(_edges(width, anchor), "doc_id long, pos int, tail long, edge long, head long"), "found")
+    found = scratch.table(candidates.mapInArrow(frugal(_edges(width, anchor)), "doc_id long, pos int, tail long, edge long, head long"), "found")
     edges = found.groupBy("tail", "edge").agg(F.min("head").alias("head"), F.min(F.struct("doc_id", "pos")).alias("s"), F.max("doc_id").alias("hi")).where("s.doc_id < hi")
     edges = edges.select("tail", "edge", "head", F.col("s.doc_id").alias("doc"), F.col("s.pos").alias("pos"))
     edges = scratch.table(edges, "repeated")
@@ -223,7 +223,7 @@ def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 def _with_changes(df: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     documents, spans, candidates = repeated_spans(df, doc_id, text, width)
     changed = candidates.select("doc_id", "text").join(spans, "doc_id").select("doc_id", "text", F.transform("spans", lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"))).alias("spans"))
-    changed = changed.mapInArrow(_apply(width), "doc_id long, n_removed long, changed_digest string, kept_text string")
+    changed = changed.mapInArrow(frugal(_apply(width)), "doc_id long, n_removed long, changed_digest string, kept_text string")
     # Rows that repeat a doc_id with the same words agree; the digest tells them apart else.
     return documents, changed.distinct()
 
