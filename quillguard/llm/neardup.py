@@ -95,18 +95,6 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array((part << 32) + np.array(out, np.int64))], names=["node", "block"])
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-
 def _compare(num: int, den: int):
     """One tile: links with den * |A and B| >= num * |A or B| as a spanning forest."""
     share = num / den
@@ -124,39 +112,45 @@ def _compare(num: int, den: int):
         for i in range(len(node)):
             b, k = band_keys(regs[i], ROWS)
             keys[i, b] = k
-        # Candidates come from sorting each band's keys, not from all pairs of the tile.
-        forest, edges = _Forest(len(node)), []
-        found: list[np.ndarray] = []
+        # Candidates come from sorting each band's keys.  Links join at once, so a pair that
+        # is joined already is never estimated: a group of near copies costs its members,
+        # not its pairs.
+        joined, edges = np.arange(len(node)), []
+        tried = np.zeros((len(node), len(node)), bool)  # at most (2 * BLOCK_CLASSES)**2 bytes
+
+        def link(a: int, others: np.ndarray) -> None:
+            est = jaccard_estimate(regs[others], np.broadcast_to(regs[a], (len(others), BANDS * ROWS)), size[others], np.full(len(others), size[a]))
+            for k in np.argsort(-est, kind="stable"):
+                b = others[k]
+                if est[k] < least:
+                    break
+                if joined[a] == joined[b]:
+                    continue
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if den * both >= num * (int(size[a]) + int(size[b]) - both):
+                    joined[joined == joined[b]] = joined[a]
+                    edges.append((int(node[a]), int(node[b])))
+
         for band in range(BANDS):
             by = np.argsort(keys[:, band], kind="stable")
             k = keys[by, band]
             cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1], True])
-            for s, e in zip(cut[:-1], cut[1:]):
-                if e - s < 2 or k[s] == 0:
+            for g in np.flatnonzero(np.diff(cut) > 1):
+                own = by[cut[g] : cut[g + 1]]
+                if k[cut[g]] == 0:
                     continue
-                own = by[s:e]
                 for x in range(len(own) - 1):
-                    a, rest = own[x], own[x + 1 :]
+                    a, rest, step = own[x], own[x + 1 :], 16
+                    rest = rest[joined[rest] != joined[a]]
                     if tiles_differ:
                         rest = rest[side[rest] != side[a]]
-                    if band:  # a pair is taken at its first common band only
-                        rest = rest[~((keys[rest, :band] == keys[a, :band]) & (keys[a, :band] != 0)).any(axis=1)]
-                    fits = den * np.minimum(size[rest], size[a]) >= num * np.maximum(size[rest], size[a])
-                    rest = rest[fits]
-                    if len(rest):
-                        est = jaccard_estimate(regs[rest], np.broadcast_to(regs[a], (len(rest), BANDS * ROWS)), size[rest], np.full(len(rest), size[a]))
-                        ok = est >= least
-                        if ok.any():
-                            found.append(np.column_stack([np.full(ok.sum(), a), rest[ok], (est[ok] * 1e6).astype(np.int64)]))
-        pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-        for a, b, _ in pairs[np.argsort(-pairs[:, 2], kind="stable")]:
-            ra, rb = forest.root(a), forest.root(b)
-            if ra == rb:
-                continue
-            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-            if den * both >= num * (int(size[a]) + int(size[b]) - both):
-                forest.up[max(ra, rb)] = min(ra, rb)
-                edges.append((int(node[a]), int(node[b])))
+                    rest = rest[den * np.minimum(size[rest], size[a]) >= num * np.maximum(size[rest], size[a])]
+                    rest = rest[~tried[a, rest]]  # a pair is taken at its first common band only
+                    while len(rest):  # in growing slices, as each link can settle the others
+                        tried[a, rest[:step]] = tried[rest[:step], a] = True
+                        link(a, rest[:step])
+                        rest, step = rest[step:], 2 * step
+                        rest = rest[joined[rest] != joined[a]]
         return pa.table({"a": pa.array([x for x, _ in edges], pa.int64()), "b": pa.array([y for _, y in edges], pa.int64())})
 
     return run
