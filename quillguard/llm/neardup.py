@@ -36,6 +36,8 @@ from .hyperminhash import EMPTY, band_keys, jaccard_estimate, registers
 BANDS, ROWS = 40, 5
 #: A block's bounds: classes, and shingles in all (8 bytes each).
 BLOCK_CLASSES, BLOCK_SHINGLES = 2048, 1_500_000
+#: Steps that gather neighbours for the layout; links do not depend on it.
+LAYOUT_ROUNDS = 2
 #: An estimate this many standard errors under the threshold rules a pair out; the chance
 #: of losing a link that shares a band is below 1e-6.
 SIGMAS = 5.0
@@ -179,10 +181,10 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
     # Classes that share keys, directly or over others, become neighbours.  This decides the
     # layout and not the links, so two edges a class, to its smallest and its largest hub,
-    # are enough: what they leave apart meets in a cross tile.
+    # and a fixed number of steps, are enough: what they leave apart meets in a cross tile.
     ends = members.groupBy("node").agg(F.min("hub").alias("low"), F.max("hub").alias("high"))
     chained = ends.select("node", F.explode(F.array_distinct(F.array("low", "high"))).alias("hub"))
-    joined = connected_components(scratch, chained, "hub", "node")
+    joined = connected_components(scratch, chained, "hub", "node", LAYOUT_ROUNDS, settled=False)
     label = ends.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     sized = label.join(sketched.where(taking_part).select(F.col("doc_id").alias("node"), "n").distinct(), "node")
     placed = ordered(scratch, sized.select(F.col("component").alias("label"), "node", "n"), "label", "node")
