@@ -3,10 +3,12 @@
 Rows of a source are cut into blocks of ``block_rows`` in order of doc_id.  Weights are
 fractions a/D over one denominator.  Block k of a source with weight w may run from slot
 floor(k / w) on and must end by slot ceil((k + 1) / w); in each slot the released block with
-the earliest deadline runs.  With weights summing to one, every source is then less than one
-block away from its target in every prefix.  The schedule repeats after D slots, so only D
-slots are ever simulated, whatever the number of rows; the place of block k follows from
-arithmetic.
+the earliest deadline runs.  Weights are exact fractions, never rounded.  With weights summing
+to one, every source is then less than one block away from its target in every prefix of a
+phase.  The schedule repeats after D slots: the driver takes one step for each of D slots, or
+for each slot of the phase where that is shorter (square roots have no short period), so its
+work is at most two steps a block.  Places are handed on in cells of ``CELL`` blocks; the
+driver never holds more than ``HELD`` of them besides one open cell a source.
 
 When a source has no blocks left, the others go on with their weights renormalised, a new
 phase; every row is placed exactly once.
@@ -19,46 +21,47 @@ through, but those of ``ADDED`` names are replaced.
 from __future__ import annotations
 
 import heapq
+import math
+from array import array
+from collections.abc import Callable, Iterator
 from fractions import Fraction
+from itertools import count, islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, ordered
 
 BLOCK_ROWS = 16
-#: Slots of one period; weights are rounded to multiples of 1 / PERIOD (more if there are
-#: more sources than a quarter of it).
-PERIOD = 1000
+#: Blocks of a source whose places make one row of the schedule, and places that the driver
+#: gathers before it writes them.
+CELL, HELD = 4096, 1 << 21
 
 
 ADDED = ("_phase", "_block", "_slot", "_position")
 
 
-def rounded(weights: dict, period: int = PERIOD) -> dict:
-    """Integer shares of ``period`` (each at least one) by largest remainder."""
+def exact_shares(weights: dict) -> dict:
+    """The smallest whole numbers in the ratio of the weights; their sum is D."""
     names = sorted(weights, key=lambda s: (s is not None, s or ""))
-    period = max(period, 4 * len(names))
-    total = sum(Fraction(weights[s]) for s in names)
-    exact = {s: Fraction(weights[s]) / total * period for s in names}
-    out = {s: max(1, int(exact[s])) for s in names}
-    while (gap := period - sum(out.values())) != 0:
-        step = 1 if gap > 0 else -1
-        able = [s for s in names if step > 0 or out[s] > 1]
-        best = max(able, key=lambda s: step * (exact[s] - out[s]))
-        out[best] += step
-    return out
+    given = {s: Fraction(weights[s]) for s in names}
+    whole = math.lcm(*(w.denominator for w in given.values()))
+    shares = {s: int(w * whole) for s, w in given.items()}
+    common = math.gcd(*shares.values())
+    return {s: n // common for s, n in shares.items()}
 
 
-def pattern(shares: dict) -> list:
-    """The source of each slot of one period: earliest deadline first among released blocks."""
+rounded = exact_shares
+
+
+def turns(shares: dict) -> Iterator:
+    """The source of each slot, without end: earliest deadline first among released blocks."""
     period = sum(shares.values())
-    order = {s: n for n, s in enumerate(shares)}
-    waiting = [(0, order[s], s, 0) for s in shares]
+    waiting = [(0, n, s, 0) for n, s in enumerate(shares)]
     heapq.heapify(waiting)
     ready: list = []
-    out = []
-    for slot in range(period):
+    for slot in count():
         while waiting and waiting[0][0] <= slot:
             _, n, s, k = heapq.heappop(waiting)
             deadline = -(-(k + 1) * period // shares[s])
@@ -66,38 +69,51 @@ def pattern(shares: dict) -> list:
         deadline, n, s, k = heapq.heappop(ready)
         if deadline <= slot:
             raise AssertionError("a block missed its deadline")
-        out.append(s)
-        if k + 1 < shares[s]:
-            heapq.heappush(waiting, ((k + 1) * period // shares[s], n, s, k + 1))
-    return out
+        yield s
+        heapq.heappush(waiting, ((k + 1) * period // shares[s], n, s, k + 1))
+
 
+def pattern(shares: dict) -> list:
+    """The source of each slot of one period."""
+    return list(islice(turns(shares), sum(shares.values())))
 
-def phases(blocks: dict, weights: dict) -> list[dict]:
-    """Phases of the schedule: in each its shares, pattern slots by source, the first block
-    of each source and the first slot; a phase ends with the last block of some source."""
+
+def phases(blocks: dict, weights: dict, put: Callable) -> list[dict]:
+    """Phases of the schedule, each until the last block of some source: by source the first
+    block, the block after the last and the blocks of one period; the first slot; the slots of
+    a period (0 if the phase ends in the first).  ``put`` (phase, source, cell, places) is
+    given the places of the period's blocks in cells."""
     left, first_slot, out = {s: n for s, n in blocks.items() if n}, 0, []
     done = {s: 0 for s in left}
     while left:
-        known = {s: weights[s] for s in left if weights.get(s)}
-        shares = rounded(known or {s: left[s] for s in left})
-        slots: dict = {s: [] for s in shares}
-        for at, s in enumerate(pattern(shares)):
-            slots[s].append(at)
+        known = {s: weights[s] for s in left if (weights.get(s) or 0) > 0}
+        shares = exact_shares(known or {s: left[s] for s in left})
         period = sum(shares.values())
-
-        def place(s, k):
-            return k // shares[s] * period + slots[s][k % shares[s]]
-
-        end = min(place(s, left[s] - 1) for s in shares) + 1
-        out.append({"period": period, "slots": slots, "from": {s: done[s] for s in shares}, "slot": first_slot})
+        # After so many whole periods no source has ended, and one ends in the next.
+        whole = min((left[s] - 1) // shares[s] for s in shares)
+        last = {s: left[s] - whole * shares[s] for s in shares}
+        ran, open_ = dict.fromkeys(shares, 0), {s: array("q") for s in shares}
+        end = None
+        for slot, s in enumerate(turns(shares)):
+            open_[s].append(slot)
+            ran[s] += 1
+            if not ran[s] % CELL:
+                put(len(out), s, ran[s] // CELL - 1, open_[s])
+                open_[s] = array("q")
+            if end is None and ran[s] == last[s]:
+                end, part = slot + 1, dict(ran)
+            if end is not None and not whole or slot + 1 == period:
+                break
+        for s, at in open_.items():
+            if at:
+                put(len(out), s, ran[s] // CELL, at)
+        first = {s: done[s] for s in shares}
         for s in shares:
-            whole, part = divmod(end, period)
-            ran = whole * shares[s] + sum(1 for x in slots[s] if x < part)
-            ran = min(ran, left[s])
-            done[s] += ran
-            left[s] -= ran
-        out[-1]["until"] = {s: done[s] for s in shares}
-        first_slot += end
+            n = whole * shares[s] + part[s]
+            done[s] += n
+            left[s] -= n
+        out.append({"from": first, "until": {s: done[s] for s in shares}, "shares": ran, "slot": first_slot, "period": period if whole else 0})
+        first_slot += whole * period + end
         left = {s: n for s, n in left.items() if n}
     return out
 
@@ -119,22 +135,42 @@ def mix_sources(df: DataFrame, weights: dict | None = None, source: str = "sourc
         offsets.append((r["s"], r["_part"], rows.get(r["s"], 0) - r["low"]))
         rows[r["s"]] = rows.get(r["s"], 0) + r["n"]
     if weights is None:
-        weights = {k: Fraction(n**0.5).limit_denominator(10**6) for k, n in rows.items()}
+        weights = {k: Fraction(n**0.5) for k, n in rows.items()}
     blocks = {k: -(-n // block_rows) for k, n in rows.items()}
+    number = {k: n for n, k in enumerate(blocks)}
+    fields = pa.schema([("_c_source", pa.int32()), ("_c_phase", pa.int32()), ("_c_cell", pa.int64()), ("_base", pa.int64()), ("_at", pa.list_(pa.int32()))])
+    cells, tables = [], []
+
+    def write():
+        made = pa.Table.from_pylist(cells, schema=fields)
+        tables.append(scratch.table(spark.createDataFrame(made), f"cells{len(tables)}"))
+        cells.clear()
+
+    def put(phase, k, cell, at):
+        cells.append({"_c_source": number[k], "_c_phase": phase, "_c_cell": cell, "_base": at[0], "_at": [x - at[0] for x in at]})
+        if len(cells) >= HELD // CELL:
+            write()
+
     table = []
-    for p, phase in enumerate(phases(blocks, weights)):
-        for k, at in phase["slots"].items():
-            table.append((k, p, phase["from"][k], phase["until"][k], phase["period"], phase["slot"], at))
-    fields = "s string, _phase int, _from long, _until long, _period long, _first long, _at array<int>"
-    schedule = spark.createDataFrame(table, fields)
+    for p, phase in enumerate(phases(blocks, weights, put)):
+        for k, share in phase["shares"].items():
+            if phase["from"][k] < phase["until"][k]:
+                table.append((k, number[k], p, phase["from"][k], phase["until"][k], phase["period"], phase["slot"], share))
+    write()
+    places = tables[0]
+    for more in tables[1:]:
+        places = places.unionByName(more)
+    schedule = spark.createDataFrame(table, "s string, _n int, _phase int, _from long, _until long, _period long, _first long, _share long")
     offset = spark.createDataFrame(offsets, "s string, _part int, _shift long")
     ranked = placed.join(F.broadcast(offset), placed[s].eqNullSafe(offset["s"]) & (placed["_part"] == offset["_part"]))
     ranked = ranked.withColumn("_rank", F.col("_idx") + F.col("_shift")).withColumn("_block", F.floor(F.col("_rank") / block_rows)).drop("s", "_part", "_idx", "_shift")
     # The schedule has one row per source and phase, each source in at most as many phases
-    # as there are sources.
+    # as there are sources; its cells have one row per CELL blocks.
     out = ranked.join(F.broadcast(schedule), ranked[s].eqNullSafe(schedule["s"]) & (F.col("_block") >= F.col("_from")) & (F.col("_block") < F.col("_until")))
     k = F.col("_block") - F.col("_from")
-    out = out.withColumn("_slot", F.col("_first") + F.floor(k / F.size("_at")) * F.col("_period") + F.element_at("_at", (k % F.size("_at") + 1).cast("int")))
+    out = out.withColumn("_turn", F.floor(k / F.col("_share"))).withColumn("_k", k % F.col("_share")).withColumn("_cell", F.floor(F.col("_k") / CELL))
+    out = out.join(places, (F.col("_n") == F.col("_c_source")) & (F.col("_phase") == F.col("_c_phase")) & (F.col("_cell") == F.col("_c_cell")))
+    out = out.withColumn("_slot", F.col("_first") + F.col("_turn") * F.col("_period") + F.col("_base") + F.element_at("_at", (F.col("_k") % CELL + 1).cast("int")))
     out = out.select(*clash.values(), "_phase", "_block", "_slot", "_rank")
     final = ordered(scratch, out, "_slot", "_rank", d)
     parts = final.groupBy("_part").count().orderBy("_part").collect()

@@ -252,6 +252,20 @@ def test_mixture_places_every_row_once(spark):
             assert abs(sum(x == s for _, x in slots[:t]) - share * t) <= 1 + 1e-9
 
 
+@pytest.mark.parametrize("weights, sizes", [(None, [20000, 14000, 10000, 8000, 5000, 3000]), ({"a": 1, "b": 0.00005}, [40000, 8]), ({"a": 3, "b": 2}, [20000, 20000])])
+def test_prefixes_stay_within_one_block_of_the_unrounded_weights(spark, weights, sizes):
+    names = "abcdef"[: len(sizes)]
+    made = [(i, c) for c, n in zip(names, sizes) for i in range(n)]
+    out = mixing.mix_sources(spark.createDataFrame(made, "doc_id long, source string"), weights, block_rows=4)
+    got = out.where("_phase = 0").select("_slot", "source").distinct().orderBy("_slot").collect()
+    assert [r["_slot"] for r in got] == list(range(len(got))) and len(got) > 3000
+    target = np.array([weights[c] if weights else n**0.5 for c, n in zip(names, sizes)])
+    done = np.cumsum([[r["source"] == c for c in names] for r in got], axis=0)
+    off = done - np.outer(np.arange(1, len(got) + 1), target / target.sum())
+    assert np.abs(off).max() < 1 + 1e-9
+    assert out.count() == len(made) and out.select("_position").distinct().count() == len(made)
+
+
 def test_mixture_of_odd_rows(docs, none, rows):
     out = mixing.mix_sources(docs)
     assert sorted(r["_position"] for r in out.collect()) == list(range(len(rows)))
