@@ -20,8 +20,9 @@ windows of ``width - 1`` words at its two ends.
    against the spans' windows, so inner repeats of the same window go as well.
 
 Defined results: null, empty and short texts keep all their words; a row with a null doc_id is
-neither a source nor a copy; rows that repeat a doc_id do not make each other copies; other
-columns are not read.
+neither a source nor a copy; rows that repeat a doc_id do not make each other copies, and each
+is cut by its own text; other columns are not read.  Where a doc_id repeats, ``rep``, a hash of
+the text, tells its texts apart, and equal rows are one document; elsewhere it is 0.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, frugal
@@ -69,21 +70,21 @@ def _first_pass(width: int, anchor: int):
             at = np.concatenate([[0], np.cumsum([len(a) for a in anchors])]).astype(np.int32)
             flat = np.concatenate(anchors) if anchors else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(digest, pa.string()), pa.ListArray.from_arrays(at, flat)],
-                names=["doc_id", "n_words", "one", "two", "digest", "anchors"],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(digest, pa.string()), pa.ListArray.from_arrays(at, flat)],
+                names=["doc_id", "rep", "n_words", "one", "two", "digest", "anchors"],
             )
 
     return run
 
 
 def _edges(width: int, anchor: int):
-    """(doc_id, text, anchors) -> one row per distinct candidate window of each document."""
+    """(doc_id, text, anchors, rep) -> one row per distinct candidate window of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "pos", "tail", "edge", "head"]
+        names = ["doc_id", "rep", "pos", "tail", "edge", "head"]
         for batch in batches:
             wanted = batch.column(2)
-            for i, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            for i, (doc, text, rep) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3)))):
                 h = word_hashes(text)
                 m = _minimisers(h, width, anchor)
                 repeated = np.asarray(wanted[i].values.to_numpy(zero_copy_only=False)).view(np.uint64)
@@ -95,7 +96,7 @@ def _edges(width: int, anchor: int):
                 at.sort()
                 pos, edge = pos[at], edge[at]
                 node = window_hashes(h, width - 1, _NODE_SEED)
-                cols = [np.full(len(pos), doc, np.int64), pos.astype(np.int32), node[pos].view(np.int64), edge.view(np.int64), node[pos + 1].view(np.int64)]
+                cols = [np.full(len(pos), doc, np.int64), np.full(len(pos), rep, np.int64), pos.astype(np.int32), node[pos].view(np.int64), edge.view(np.int64), node[pos + 1].view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
     return run
@@ -116,7 +117,7 @@ def removed_mask(text: str | None, spans: list[tuple[int, int]], width: int) ->
 
 
 def _apply(width: int):
-    """(doc_id, text, spans) -> removed word count, digest and text of what is kept."""
+    """(doc_id, text, spans, rep) -> removed word count, digest and text of what is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,8 +130,8 @@ def _apply(width: int):
                 digest.append(hashlib.sha256(kept).hexdigest())
                 kept_text.append(kept.decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept_text, pa.string())],
-                names=["doc_id", "n_removed", "digest", "kept_text"],
+                [batch.column(0), batch.column(3), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept_text, pa.string())],
+                names=["doc_id", "rep", "n_removed", "digest", "kept_text"],
             )
 
     return run
@@ -173,72 +174,86 @@ def _compacted(scratch: Scratch, edges: DataFrame) -> DataFrame:
     return scratch.table(placed.select("tail", "edge", "doc", F.col("unitig.doc").alias("unitig_doc"), F.col("unitig.seg").alias("unitig_pos"), (F.col("jump") + F.col("pos") - F.col("seg")).alias("at")), "unitigs")
 
 
-def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, spans, candidates): every row's doc_id, n_words, digest of its words and
+def _repeats(df: DataFrame, doc_id: str) -> bool:
+    ids = df.select(F.col(doc_id).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").groupBy("doc_id").count()
+    return not ids.where("count > 1").isEmpty()
+
+
+def _rep(several: bool, text: str) -> Column:
+    """What tells the texts of one doc_id apart, if any doc_id repeats."""
+    return F.xxhash64(F.coalesce(text, F.lit(""))) if several else F.lit(0).cast("long")
+
+
+def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, anchor: int = ANCHOR, several: bool | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, spans, candidates): every row's doc_id, rep, n_words, digest of its words and
     whether it is a later copy of a whole word sequence; per document the removable spans
     (first window ``at``, windows ``n``, unitig and offset); texts of the documents that
     have any candidate window."""
     scratch = Scratch(df.sparkSession, "substring")
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    read = scratch.table(docs.mapInArrow(frugal(_first_pass(width, anchor)), "doc_id long, n_words long, one long, two long, digest string, anchors array<long>"), "read")
+    several = _repeats(df, doc_id) if several is None else several
+    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), _rep(several, text).alias("rep"))
+    read = scratch.table(docs.mapInArrow(frugal(_first_pass(width, anchor)), "doc_id long, rep long, n_words long, one long, two long, digest string, anchors array<long>"), "read")
     whole = (F.col("n_words") >= width) & F.col("doc_id").isNotNull()
     first = read.where(whole).groupBy("one", "two", "n_words").agg(F.min("doc_id").alias("first"))
     named = read.join(first, ["one", "two", "n_words"], "left")
     copy = F.coalesce(whole & (F.col("doc_id") != F.col("first")), F.lit(False))
-    named = scratch.table(named.select("doc_id", "n_words", "digest", copy.alias("copy"), F.when(whole & ~copy, F.col("anchors")).alias("anchors")), "named")
+    named = scratch.table(named.select("doc_id", "rep", "n_words", "digest", copy.alias("copy"), F.when(whole & ~copy, F.col("anchors")).alias("anchors")), "named")
     scratch.drop("read")
 
-    anchors = named.select("doc_id", F.explode("anchors").alias("anchor")).repartition("anchor")
+    anchors = named.select("doc_id", "rep", F.explode("anchors").alias("anchor")).repartition("anchor")
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    wanted = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    wanted = anchors.join(shared, "anchor").groupBy("doc_id", "rep").agg(F.collect_set("anchor").alias("anchors"))
     wanted = scratch.table(wanted, "wanted")
     documents = scratch.table(named.drop("anchors"), "documents")
     scratch.drop("named")
 
-    candidates = scratch.table(docs.join(wanted, "doc_id").select("doc_id", "text", "anchors"), "candidates")
+    candidates = scratch.table((docs.dropDuplicates(["doc_id", "rep"]) if several else docs).join(wanted, ["doc_id", "rep"]).select("doc_id", "text", "anchors", "rep"), "candidates")
     scratch.drop("wanted")
-    found = scratch.table(candidates.mapInArrow(frugal(_edges(width, anchor)), "doc_id long, pos int, tail long, edge long, head long"), "found")
-    edges = found.groupBy("tail", "edge").agg(F.min("head").alias("head"), F.min(F.struct("doc_id", "pos")).alias("s"), F.max("doc_id").alias("hi")).where("s.doc_id < hi")
-    edges = edges.select("tail", "edge", "head", F.col("s.doc_id").alias("doc"), F.col("s.pos").alias("pos"))
+    found = scratch.table(candidates.mapInArrow(frugal(_edges(width, anchor)), "doc_id long, rep long, pos int, tail long, edge long, head long"), "found")
+    # A source is named by doc_id, and by rep only where that is needed.
+    doc = F.struct("doc_id", "rep") if several else F.col("doc_id")
+    number = lambda c: F.col(f"{c}.doc_id" if several else c)
+    edges = found.groupBy("tail", "edge").agg(F.min("head").alias("head"), F.min(F.struct(doc.alias("doc"), "pos")).alias("s"), F.max("doc_id").alias("hi")).where(number("s.doc") < F.col("hi"))
+    edges = edges.select("tail", "edge", "head", F.col("s.doc").alias("doc"), F.col("s.pos").alias("pos"))
     edges = scratch.table(edges, "repeated")
     placed = _compacted(scratch, edges)
     scratch.drop("repeated", "marked")
 
-    later = found.drop("head").join(placed, ["tail", "edge"]).where("doc_id > doc")
-    later = later.select("doc_id", "pos", "unitig_doc", "unitig_pos", "at", (F.col("at") - F.col("pos")).alias("diagonal"))
+    later = found.drop("head").join(placed, ["tail", "edge"]).where(F.col("doc_id") > number("doc"))
+    later = later.select("doc_id", "rep", "pos", "unitig_doc", "unitig_pos", "at", (F.col("at") - F.col("pos")).alias("diagonal"))
     later = scratch.table(later, "later")
     scratch.drop("found", "unitigs")
     # A span: consecutive windows of the document at consecutive places of one unitig.
-    by = Window.partitionBy("doc_id").orderBy("pos")
+    by = Window.partitionBy("doc_id", "rep").orderBy("pos")
     same = (F.col("pos") == F.lag("pos").over(by) + 1) & (F.col("unitig_doc") == F.lag("unitig_doc").over(by)) & (F.col("unitig_pos") == F.lag("unitig_pos").over(by)) & (F.col("diagonal") == F.lag("diagonal").over(by))
     runs = later.withColumn("start", F.when(F.coalesce(same, F.lit(False)), None).otherwise(F.col("pos")))
     runs = runs.withColumn("start", F.max("start").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("doc_id", "start").agg(F.count("*").cast("int").alias("n"), F.first("unitig_doc").alias("unitig_doc"), F.first("unitig_pos").alias("unitig_pos"), F.min("at").alias("offset"))
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").alias("at"), "n", "unitig_doc", "unitig_pos", "offset")).alias("spans"))
+    spans = runs.groupBy("doc_id", "rep", "start").agg(F.count("*").cast("int").alias("n"), F.first("unitig_doc").alias("unitig_doc"), F.first("unitig_pos").alias("unitig_pos"), F.min("at").alias("offset"))
+    spans = spans.groupBy("doc_id", "rep").agg(F.collect_list(F.struct(F.col("start").alias("at"), "n", "unitig_doc", "unitig_pos", "offset")).alias("spans"))
     spans = scratch.table(spans, "spans")
     scratch.drop("later")
     return documents, spans, candidates
 
 
-def _with_changes(df: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    documents, spans, candidates = repeated_spans(df, doc_id, text, width)
-    changed = candidates.select("doc_id", "text").join(spans, "doc_id").select("doc_id", "text", F.transform("spans", lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"))).alias("spans"))
-    changed = changed.mapInArrow(frugal(_apply(width)), "doc_id long, n_removed long, changed_digest string, kept_text string")
-    # Rows that repeat a doc_id with the same words agree; the digest tells them apart else.
-    return documents, changed.distinct()
+def _with_changes(df: DataFrame, doc_id: str, text: str, width: int, several: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    documents, spans, candidates = repeated_spans(df, doc_id, text, width, several=several)
+    changed = candidates.select("doc_id", "text", "rep").join(spans, ["doc_id", "rep"]).select("doc_id", "text", F.transform("spans", lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"))).alias("spans"), "rep")
+    changed = changed.mapInArrow(frugal(_apply(width)), "doc_id long, rep long, n_removed long, changed_digest string, kept_text string")
+    return documents, changed
 
 
 def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """``df`` with repeated passages cut out of ``text``: kept words joined by one space in
     changed rows, the text as it was in the others; the columns of ``df`` and ``_n_removed``,
     which takes the place of a column of that name."""
-    documents, changed = _with_changes(df, doc_id, text, width)
-    cut = changed.select(F.col("doc_id").alias("_doc"), F.col("n_removed").alias("_cut"), F.col("kept_text").alias("_kept"))
-    gone = documents.where("copy").select(F.col("doc_id").alias("_doc"), F.col("n_words").alias("_cut"), F.lit("").alias("_kept"))
-    cut = cut.unionByName(gone).dropDuplicates(["_doc"])
+    several = _repeats(df, doc_id)
+    documents, changed = _with_changes(df, doc_id, text, width, several)
+    cut = changed.select(F.col("doc_id").alias("_doc"), F.col("rep").alias("_rep"), F.col("n_removed").alias("_cut"), F.col("kept_text").alias("_kept"))
+    gone = documents.where("copy").select(F.col("doc_id").alias("_doc"), F.col("rep").alias("_rep"), F.col("n_words").alias("_cut"), F.lit("").alias("_kept"))
+    cut = cut.unionByName(gone).dropDuplicates(["_doc", "_rep"])
     names = [c for c in df.columns if c != "_n_removed"]
-    inner = df.select(*(F.col(f"`{c}`").alias(f"_x{i}") for i, c in enumerate(names)))
-    out = inner.join(cut, F.col(f"_x{names.index(doc_id)}").cast("long") == F.col("_doc"), "left")
+    inner = df.select(*(F.col(f"`{c}`").alias(f"_x{i}") for i, c in enumerate(names)), _rep(several, text).alias("_of"))
+    out = inner.join(cut, (F.col(f"_x{names.index(doc_id)}").cast("long") == F.col("_doc")) & (F.col("_of") == F.col("_rep")), "left")
     shown = [F.coalesce("_kept", f"_x{i}").alias(c) if c == text else F.col(f"_x{i}").alias(c) for i, c in enumerate(names)]
     return out.select(*shown, F.coalesce("_cut", F.lit(0)).alias("_n_removed"))
 
@@ -246,7 +261,7 @@ def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     documents, changed = _with_changes(docs, "doc_id", "text", WIDTH)
-    out = documents.join(changed.select("doc_id", "n_removed", "changed_digest"), "doc_id", "left")
+    out = documents.join(changed.select("doc_id", "rep", "n_removed", "changed_digest"), ["doc_id", "rep"], "left")
     empty = hashlib.sha256(b"").hexdigest()
     n = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     kept = F.when(F.col("copy"), F.lit(empty)).otherwise(F.coalesce("changed_digest", "digest"))

@@ -179,6 +179,26 @@ def test_substring_dedup_of_random_overlaps(spark):
         assert hashlib.sha256(b" ".join(words(out[i]["text"]))).hexdigest() == digest
 
 
+def test_substring_dedup_of_rows_that_repeat_a_doc_id(spark):
+    shared, other = prose(80, 13), prose(81, 20)
+    own = [prose(90 + k, 20) for k in range(6)]
+    made = [(1, f"{own[0]} {shared} {own[1]}"), (2, f"{other} {own[2]}")]
+    made += [(3, f"{own[3]} {shared} {own[4]}")] * 3  # identical rows with one shared window
+    made += [(4, f"{shared} {own[5]}"), (4, f"{own[4][::-1]} {other} tail"), (4, made[0][1]), (5, f"{own[5]} end")]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    want = [(i, gone, digest) for i, _, gone, digest in cut(made, 13)]
+    assert [w[1] for w in want if w[0] == 3] == [13] * 3
+    out = substring.substring_dedup(df).collect()
+    assert sorted(((r["doc_id"], r["_n_removed"], hashlib.sha256(b" ".join(words(r["text"]))).hexdigest()) for r in out), key=str) == sorted(want, key=str)
+
+
+def test_op3_gives_one_row_for_each_row(spark, tmp_path):
+    made = [(1, prose(80, 13) + " a"), (2, "b " + prose(80, 13)), (2, "b " + prose(80, 13)), (2, prose(82, 20)), (3, prose(82, 30)), (3, prose(83, 30))]
+    spark.createDataFrame(made, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    out = substring.op3_substring_dedup(spark, f"file://{tmp_path}").collect()
+    assert sorted((tuple(r) for r in out), key=str) == cut(made, 13)
+
+
 def test_substring_dedup_keeps_columns_and_empty_tables(docs, none):
     out = substring.substring_dedup(docs)
     assert out.columns == [*docs.columns, "_n_removed"] and out.count() == docs.count()
