@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillguard.llm import bpe, classifier, mixing, neardup, substring
-from quillguard.llm.common import Scratch
+from quillguard.llm.common import Scratch, ordered
 
 
 def _apart(stage):
@@ -36,13 +36,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_apart
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays (five words, similarity 0.8)."""
-    found = neardup.near_duplicates(docs.select("doc_id", "text"))
-    scratch = Scratch(spark, "kept")
+    scratch, names = Scratch(spark, "kept"), docs.columns
+    several = substring.repeats(docs, "doc_id")
+    # Where a doc_id repeats, rows are numbered in its order, so that each text stands for itself.
+    rows = ordered(scratch, docs, "doc_id", "text") if several else docs
+    key = F.when(F.col("doc_id").isNotNull(), F.shiftleft(F.col("_part").cast("long"), 33) + F.col("_idx")) if several else F.col("doc_id")
+    rows = rows.withColumn("_key", key)
+    found = neardup.near_duplicates(rows.select(F.col("_key").alias("doc_id"), "text"))
     kept = scratch.table(found.where("kept").select(F.col("doc_id").alias("_kept")), "kept")
-    out = docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    ids = kept.where("_kept IS NOT NULL")
-    if ids.count() > ids.distinct().count():  # rows that repeat a doc_id: one of them stays
-        out = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL"))
+    out = rows.join(kept.distinct(), F.col("_key").eqNullSafe(F.col("_kept")), "left_semi").select(*(F.col(f"`{c}`") for c in names))
+    if several:  # rows equal in doc_id and text, without a word: one of them stays
+        out = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(out.where("doc_id IS NULL"))
     return out
 
 

@@ -174,7 +174,8 @@ def _compacted(scratch: Scratch, edges: DataFrame) -> DataFrame:
     return scratch.table(placed.select("tail", "edge", "doc", F.col("unitig.doc").alias("unitig_doc"), F.col("unitig.seg").alias("unitig_pos"), (F.col("jump") + F.col("pos") - F.col("seg")).alias("at")), "unitigs")
 
 
-def _repeats(df: DataFrame, doc_id: str) -> bool:
+def repeats(df: DataFrame, doc_id: str) -> bool:
+    """Whether any doc_id is found in several rows."""
     ids = df.select(F.col(doc_id).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").groupBy("doc_id").count()
     return not ids.where("count > 1").isEmpty()
 
@@ -190,7 +191,7 @@ def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     (first window ``at``, windows ``n``, unitig and offset); texts of the documents that
     have any candidate window."""
     scratch = Scratch(df.sparkSession, "substring")
-    several = _repeats(df, doc_id) if several is None else several
+    several = repeats(df, doc_id) if several is None else several
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), _rep(several, text).alias("rep"))
     read = scratch.table(docs.mapInArrow(frugal(_first_pass(width, anchor)), "doc_id long, rep long, n_words long, one long, two long, digest string, anchors array<long>"), "read")
     whole = (F.col("n_words") >= width) & F.col("doc_id").isNotNull()
@@ -246,7 +247,7 @@ def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     """``df`` with repeated passages cut out of ``text``: kept words joined by one space in
     changed rows, the text as it was in the others; the columns of ``df`` and ``_n_removed``,
     which takes the place of a column of that name."""
-    several = _repeats(df, doc_id)
+    several = repeats(df, doc_id)
     documents, changed = _with_changes(df, doc_id, text, width, several)
     cut = changed.select(F.col("doc_id").alias("_doc"), F.col("rep").alias("_rep"), F.col("n_removed").alias("_cut"), F.col("kept_text").alias("_kept"))
     gone = documents.where("copy").select(F.col("doc_id").alias("_doc"), F.col("rep").alias("_rep"), F.col("n_words").alias("_cut"), F.lit("").alias("_kept"))

@@ -36,6 +36,13 @@ def test_stages_on_odd_rows_and_none(spark, sf):
     assert corpus_pipeline.mixture(spark, docs, sf).count() == 5
 
 
+def test_near_duplicates_keep_other_texts_of_a_doc_id(spark, sf):
+    a, b, c, d = (" ".join(f"{k}{n}" for n in range(30)) for k in "abcd")
+    made = [(0, a), (1, a), (1, b), (2, c), (2, d), (2, c), (3, None), (3, None), (None, a)]
+    near = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(made, "doc_id long, text string"), sf)
+    assert sorted(map(str, (tuple(r) for r in near.collect()))) == sorted(map(str, [(0, a), (1, b), (2, c), (2, d), (3, None), (None, a)]))
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_against_sql(spark, sf, name):
     con = duckdb.connect()
