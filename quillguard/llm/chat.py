@@ -5,8 +5,9 @@ For every participant of a conversation the dialogue is rendered with that speak
 speaker says, closing marker included.  Roles in ``CONTEXT`` are rendered as themselves and
 are nobody's perspective.
 
-A conversation may hold any share of all rows: turns are ranked over sorted parts (never one
-window or list over a whole conversation) and the output has one row per conversation,
+A conversation may hold any share of all rows: turns are ranked, and the lengths of chunks
+summed, over sorted parts (never one window or list over a whole conversation; texts and masks
+pass through no window) and the output has one row per conversation,
 perspective and run of ``CHUNK_TURNS`` turns.  Chunk texts in order of ``chunk`` concatenate
 to the whole dialogue; ``start_offset`` says where a chunk starts in it.
 
@@ -48,7 +49,21 @@ def rotate_perspectives(df: DataFrame, conv: str = "conv_id", turn: str = "turn"
     head = F.concat(F.lit("<|im_start|>"), who, F.lit("\n"))
     body = F.concat(F.col("said"), F.lit("<|im_end|>"))
     seen = seen.select("conv", "perspective", "chunk", F.struct("rank", head.alias("head"), body.alias("body"), own.alias("own")).alias("t"))
-    chunks = seen.groupBy("conv", "perspective", "chunk").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+
+    # Offsets from lengths alone; they come to the chunks as one more row of each group.
+    said = ranked.groupBy("conv", "chunk", "speaker").agg(F.count("*").alias("n"), F.sum(F.length("said")).alias("w"))
+    sizes = said.join(people, said["conv"].eqNullSafe(people["c"])).groupBy("conv", "perspective", "chunk")
+    sizes = sizes.agg(F.sum(F.col("n") * (F.length(head) + F.length(F.lit("<|im_end|>\n"))) + F.col("w")).alias("size"))
+    sized = ordered(scratch, sizes, "conv", "perspective", "chunk")
+    whole = sized.groupBy("conv", "perspective", "_part").agg(F.sum("size").alias("size"))
+    before = Window.partitionBy("conv", "perspective").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = whole.select(F.col("conv").alias("c"), F.col("perspective").alias("q"), F.col("_part").alias("p"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("shift"))
+    within = Window.partitionBy("_part", "conv", "perspective").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sized = sized.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    sized = sized.join(shift, sized["conv"].eqNullSafe(shift["c"]) & (sized["perspective"] == shift["q"]) & (sized["_part"] == shift["p"]))
+    offsets = sized.select("conv", "perspective", "chunk", (F.col("inside") + F.col("shift")).alias("offset"))
+    seen = seen.withColumn("offset", F.lit(None).cast("long")).unionByName(offsets, allowMissingColumns=True)
+    chunks = seen.groupBy("conv", "perspective", "chunk").agg(F.sort_array(F.collect_list("t")).alias("ts"), F.max("offset").alias("offset"))
     line = lambda t: F.concat(t["head"], t["body"], F.lit("\n"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long>>").alias("mask"))
 
@@ -58,10 +73,8 @@ def rotate_perspectives(df: DataFrame, conv: str = "conv_id", turn: str = "turn"
         span = F.array(F.struct(opens.cast("long").alias("start"), closes.cast("long").alias("end")))
         return F.struct((closes + 1).cast("long").alias("at"), F.when(t["own"], F.concat(acc["mask"], span)).otherwise(acc["mask"]).alias("mask"))
 
-    chunks = chunks.select("conv", "perspective", "chunk", F.size("ts").cast("long").alias("n_turns"), F.array_join(F.transform("ts", line), "").alias("text"), F.aggregate("ts", start, step).alias("m"))
-    earlier = Window.partitionBy("conv", "perspective").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum("m.at").over(earlier), F.lit(0))
-    return chunks.select(F.col("conv").alias("conv_id"), "perspective", "chunk", "n_turns", offset.alias("start_offset"), "text", F.col("m.mask").alias("mask"))
+    chunks = chunks.select("conv", "perspective", "chunk", "offset", F.size("ts").cast("long").alias("n_turns"), F.array_join(F.transform("ts", line), "").alias("text"), F.aggregate("ts", start, step).alias("m"))
+    return chunks.select(F.col("conv").alias("conv_id"), "perspective", "chunk", "n_turns", F.col("offset").alias("start_offset"), "text", F.col("m.mask").alias("mask"))
 
 
 def op6_perspective_rotation(spark, sf_dir: str) -> DataFrame:

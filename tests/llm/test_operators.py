@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import struct
 
 import numpy as np
@@ -320,6 +321,20 @@ def test_perspectives_against_a_loop(spark):
     assert chat.rotate_perspectives(df.where("false")).count() == 0
 
 
+def test_perspectives_send_no_text_through_a_window(spark):
+    made = [(c, k, "ab"[k % 2], f"t{k} " * (k % 7)) for c in (1, None) for k in range(60)]
+    out = chat.rotate_perspectives(spark.createDataFrame(made, "conv_id long, turn int, role string, text string"), chunk_turns=4)
+    at = {}
+    for r in sorted(out.collect(), key=lambda r: (str(r["conv_id"]), r["perspective"], r["chunk"])):
+        key = (r["conv_id"], r["perspective"])
+        assert r["start_offset"] == at.get(key, 0)
+        at[key] = r["start_offset"] + len(r["text"])
+    assert len(at) == 4
+    plan = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
+    windows = [x for x in plan.split("\n\n") if re.match(r"\s*\(\d+\) Window", x)]
+    assert windows and not any(re.search(r"\b(text|said|ts|t|m|mask)#", x) for x in windows)
+
+
 def test_perspectives_use_no_python(spark, sf):
     plan = chat.op6_perspective_rotation(spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
