@@ -101,17 +101,18 @@ def detect_all_documents(spark, sf_dir):
     return _flat(_exploded(redact.detect_entities(documents(spark, sf_dir))))
 
 
+#: The SQL still counts over the samples; the queries count over documents.
 _COUNTS = f"WITH RECURSIVE {sql.merged(_REGEX_CAND.format(sql.all_detected(fixtures.SAMPLES)))} "
 
 
 @query("entity_counts", _COUNTS + "SELECT entity_type, count(*) AS n FROM merged GROUP BY entity_type")
 def entity_counts(spark, sf_dir):
-    return _exploded(redact.detect_entities(samples(spark, sf_dir))).groupBy("entity_type").agg(F.count("*").alias("n"))
+    return _exploded(redact.detect_entities(documents(spark, sf_dir))).groupBy("entity_type").agg(F.count("*").alias("n"))
 
 
 @query("entity_counts_rollup", _COUNTS + "SELECT coalesce(entity_type, 'TOTAL') AS entity_type, count(*) AS n FROM merged GROUP BY ROLLUP (entity_type)")
 def entity_counts_rollup(spark, sf_dir):
-    found = _exploded(redact.detect_entities(samples(spark, sf_dir)))
+    found = _exploded(redact.detect_entities(documents(spark, sf_dir)))
     return found.rollup("entity_type").agg(F.count("*").alias("n")).select(F.coalesce("entity_type", F.lit("TOTAL")).alias("entity_type"), "n")
 
 

@@ -1,7 +1,8 @@
-"""Labels and scores of every sample, those without a pattern hit among them."""
+"""Labels and scores of every sample, those without a pattern hit among them; counts over documents."""
 
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +78,11 @@ def test_scores_count_false_positives_of_every_sample(spark, sf, unfound):
     types = set(tp) | set(fp) | set(fn)
     macro = sum(tp[t] / (tp[t] + fp[t]) if tp[t] + fp[t] else 0 for t in types) / len(types)
     assert catalogue.QUERIES["ner_f1"](spark, sf).first()["macro_precision"] == pytest.approx(macro, abs=1e-6)
+
+
+def test_entity_counts_are_over_documents(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = dict(con.sql(f"SELECT entity_type, count(*) FROM ({catalogue.ORACLE_SQL['detect_all_documents']}) GROUP BY 1").fetchall())
+    assert dict(map(tuple, catalogue.QUERIES["entity_counts"](spark, sf).collect())) == want
+    assert dict(map(tuple, catalogue.QUERIES["entity_counts_rollup"](spark, sf).collect())) == want | {"TOTAL": sum(want.values())}
