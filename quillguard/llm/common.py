@@ -17,11 +17,13 @@ _OWN: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) a temporary folder is made.
+    Only a local master (single-machine tests) may leave it unset; a temporary folder is made.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="quillguard-"))
         spark.sparkContext.setCheckpointDir(_OWN[0])
@@ -100,16 +102,36 @@ def ordered(scratch: Scratch, df: DataFrame, *by: str) -> DataFrame:
     return scratch.table(out, "ordered")
 
 
-def connected_components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, settled: bool = True) -> DataFrame:
+#: Parts into which the rows of one group are dealt where a group may hold very many.
+SALTS = 64
+
+
+def least_of_group(df: DataFrame, keys: list[str], value: str, name: str, spread: str | None = None, shared: bool = False) -> DataFrame:
+    """``df`` with the smallest ``value`` of each row's group as ``name`` and the rows of the
+    group as ``{name}_rows``.
+
+    The group's rows meet in ``SALTS`` parts, dealt by ``spread`` (``value`` if not given):
+    each part is reduced first, and the answer goes back to the parts, so a group that holds
+    a third of all rows is never in one task.  Keys must not be null.  With ``shared`` rows
+    that are alone in their group are left out."""
+    part, n = f"_{name}_part", f"{name}_rows"
+    rows = df.withColumn(part, F.pmod(F.xxhash64(spread or value), F.lit(SALTS)).cast("int")).repartition(*keys, part)
+    parts = rows.groupBy(*keys, part).agg(F.min(value).alias(name), F.count("*").alias(n))
+    whole = parts.groupBy(*keys).agg(F.min(name).alias(name), F.sum(n).alias(n)).where(F.col(n) > 1)
+    known = parts.select(*keys, part).join(whole, keys)
+    if shared:
+        return rows.join(known, [*keys, part]).drop(part)
+    out = rows.join(known, [*keys, part], "left").drop(part)
+    return out.withColumn(name, F.coalesce(name, value)).withColumn(n, F.coalesce(n, F.lit(1).cast("long")))
+
+
+def connected_components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over undirected ``edges``.
 
-    Alternating large-star and small-star steps: each is one aggregation by node and one
-    join back, so a hub with very many neighbours is handled by partial aggregation and
-    AQE's skew-join splitting.  Each round is written to the shared folder; it ends when
-    the edge set no longer changes (log**2 rounds in theory, a handful in practice).
-    Nodes without an edge are not returned.  Without ``settled`` it ends after ``rounds``
-    steps at the latest, and a component can still be several groups, each named by one of
-    its nodes: enough to lay rows out, not to decide.
+    Alternating large-star and small-star steps; in each, :func:`least_of_group` gives every
+    edge the smallest neighbour, so a hub with very many neighbours is in no single task.
+    Each round is written to the shared folder; it ends when the edge set no longer changes
+    (log**2 rounds in theory, a handful in practice).  Nodes without an edge are not returned.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = scratch.table(e, "edges0")
@@ -117,18 +139,19 @@ def connected_components(scratch: Scratch, edges: DataFrame, a: str = "a", b: st
     before = e.agg(*mark).first()
     for k in range(rounds if before[0] else 0):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = scratch.table(linked.unionByName(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), f"edges{k + 1}")
+        low = least_of_group(both, ["u"], "v", "m").withColumn("m", F.least("u", "m"))
+        large = low.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low2 = least_of_group(large, ["u"], "v", "m")
+        linked = low2.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        down = low2.select("u", F.col("m").alias("v"))
+        e = scratch.table(linked.unionByName(down).where("u <> v").distinct(), f"edges{k + 1}")
         scratch.drop(f"edges{k}")
         now = e.agg(*mark).first()
         if now == before:
             break
         before = now
     else:
-        if before[0] and settled:
+        if before[0]:
             raise RuntimeError("connected components did not settle")
     return e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").unionByName(
         e.groupBy("v").agg(F.min("v").alias("component")).withColumnRenamed("v", "node")

@@ -6,17 +6,21 @@
 2. Bands of registers are keys; classes that share a key are candidates.  At the contract's
    similarity of 0.85 two sets miss all 40 bands of 5 registers with probability 6e-11, at
    0.8 with 1e-7.
-3. Candidates are laid out so that classes sharing keys are neighbours and cut into blocks of
-   bounded rows and bytes.  Only pairs of blocks that share a key meet, in one task each
-   that gets only the classes with such a key: there the pairs with an equal band, a
-   possible size ratio and a collision-corrected estimate not clearly too low are compared
-   on their full sets, and pairs already joined inside the task are skipped.  A task emits
-   a spanning forest of its links, never all pairs, so a group of thousands of near copies
-   costs blocks**2 tasks and as many rows as it has members.
-4. Components come from the forests by star contraction in Spark.
+3. A key's hub is its member that shares the most keys with others, as the text that many
+   were copied from does.  A class is labelled with the hub of its commonest key; classes in
+   order of labels are cut into blocks of bounded rows and bytes, and each block gets the hubs
+   of its labels too.  Inside a block's task the pairs with an equal band, a possible size
+   ratio and a collision-corrected estimate not clearly too low are compared on their full
+   sets; pairs joined already are skipped, and a task emits a spanning forest of its links.
+   A group of near copies larger than a block is thus joined over its hubs, and costs as many
+   rows as it has members.
+4. Only keys whose members still lie in several blocks and several components are left: for
+   these, pairs of blocks meet in one task each, with the classes that hold such a key.
+5. Components come from the forests by star contraction in Spark.
 
 Defined results: null text, empty text or text without words has an empty set and is linked
-with nothing; rows that repeat a doc_id count as one document; a row with a null doc_id takes
+with nothing; each row's text is compared for itself, and rows that share a doc_id are one
+node of the components, which their texts' links all reach; a row with a null doc_id takes
 no part, gets a null component and is kept; other columns are not read.
 """
 
@@ -29,20 +33,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, frugal, ordered
+from .common import Scratch, connected_components, frugal, least_of_group, ordered
 from .hashing import _splitmix, mix, shingle_set
 from .hyperminhash import EMPTY, band_keys, jaccard_estimate, registers
 
 BANDS, ROWS = 40, 5
 #: A block's bounds: classes, and shingles in all (8 bytes each).
 BLOCK_CLASSES, BLOCK_SHINGLES = 2048, 1_500_000
-#: Steps that gather neighbours for the layout; links do not depend on it.
-LAYOUT_ROUNDS = 2
 #: An estimate this many standard errors under the threshold rules a pair out; the chance
 #: of losing a link that shares a band is below 1e-6.
 SIGMAS = 5.0
 
 
+def repeats(df: DataFrame, doc_id: str = "doc_id") -> bool:
+    """Whether any doc_id is found in several rows."""
+    ids = df.select(F.col(doc_id).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").groupBy("doc_id").count()
+    return not ids.where("count > 1").isEmpty()
+
+
 def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,18 +91,22 @@ def _sets(width: int):
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, n, part, idx) in order -> a block number that counts up within the part."""
-    block = rows = shingles = 0
-    for batch in batches:
-        out = []
-        for n in batch.column("n").to_pylist():
-            if rows and (rows >= BLOCK_CLASSES or shingles + n > BLOCK_SHINGLES):
-                block, rows, shingles = block + 1, 0, 0
-            rows, shingles = rows + 1, shingles + n
-            out.append(block)
-        part = np.asarray(batch.column("part").to_numpy(), np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array((part << 32) + np.array(out, np.int64))], names=["node", "block"])
+def _blocks(classes: int, most_shingles: int):
+    """(node, n, part, idx, label) in order -> a block number that counts up within the part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = rows = shingles = 0
+        for batch in batches:
+            out = []
+            for n in batch.column("n").to_pylist():
+                if rows and (rows >= classes or shingles + n > most_shingles):
+                    block, rows, shingles = block + 1, 0, 0
+                rows, shingles = rows + 1, shingles + n
+                out.append(block)
+            part = np.asarray(batch.column("part").to_numpy(), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array((part << 32) + np.array(out, np.int64)), batch.column("label")], names=["node", "block", "label"])
+
+    return run
 
 
 def _compare(num: int, den: int):
@@ -114,11 +126,11 @@ def _compare(num: int, den: int):
         for i in range(len(node)):
             b, k = band_keys(regs[i], ROWS)
             keys[i, b] = k
-        # Candidates come from sorting each band's keys.  Links join at once, so a pair that
-        # is joined already is never estimated: a group of near copies costs its members,
-        # not its pairs.
-        joined, edges = np.arange(len(node)), []
-        tried = np.zeros((len(node), len(node)), bool)  # at most (2 * BLOCK_CLASSES)**2 bytes
+        # Candidates come from sorting each band's keys.  Links join at once, and what earlier
+        # steps joined starts so, hence a pair that is joined already is never estimated: a
+        # group of near copies costs its members, not its pairs.
+        joined, edges = np.unique(table.column("component").to_numpy(), return_inverse=True)[1], []
+        tried = np.zeros((len(node), len(node)), bool)  # the square of a block's members and hubs
 
         def link(a: int, others: np.ndarray) -> None:
             est = jaccard_estimate(regs[others], np.broadcast_to(regs[a], (len(others), BANDS * ROWS)), size[others], np.full(len(others), size[a]))
@@ -158,62 +170,89 @@ def _compare(num: int, den: int):
     return run
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
-    """Per row of ``df``: doc_id, n_shingles, component_id, kept.
-
-    Documents whose ``width``-word shingle sets have ``den * |A and B| >= num * |A or B|``
-    for ``similarity = (num, den)`` are linked; a component is named by its smallest id.
-    """
+def _components(scratch: Scratch, docs: DataFrame, sketched: DataFrame, width: int, similarity: tuple[int, int], block_classes: int, block_shingles: int) -> DataFrame:
+    """(doc_id, component) of the documents with words; ``doc_id`` is not null and unique."""
     num, den = similarity
-    scratch = Scratch(df.sparkSession, "near-duplicates")
     written = scratch.table
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketched = written(docs.mapInArrow(frugal(_sketches(width)), "doc_id long, n long, one long, two long, sketch binary"), "sketches")
-    taking_part = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    classes = sketched.where(taking_part).groupBy("one", "two", "n").agg(F.min("doc_id").alias("node"))
-    named = written(sketched.where(taking_part).select("doc_id", "one", "two", "n").join(classes, ["one", "two", "n"]).select("doc_id", "node"), "classes")
-    firsts = named.where("doc_id = node").select("node").distinct()
-
-    own = sketched.where(taking_part).select(F.col("doc_id").alias("node"), "sketch").join(firsts, "node", "left_semi")
-    own = own.mapInArrow(frugal(_keys), "node long, key long").distinct()
-    shared = own.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1")
-    members = written(own.join(shared.select("key", "hub"), "key").select("key", "hub", "node"), "members")
-
-    # Classes that share keys, directly or over others, become neighbours.  This decides the
-    # layout and not the links, so two edges a class, to its smallest and its largest hub,
-    # and a fixed number of steps, are enough: what they leave apart meets in a cross tile.
-    ends = members.groupBy("node").agg(F.min("hub").alias("low"), F.max("hub").alias("high"))
-    chained = ends.select("node", F.explode(F.array_distinct(F.array("low", "high"))).alias("hub"))
-    joined = connected_components(scratch, chained, "hub", "node", LAYOUT_ROUNDS, settled=False)
-    label = ends.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    sized = label.join(sketched.where(taking_part).select(F.col("doc_id").alias("node"), "n").distinct(), "node")
-    placed = ordered(scratch, sized.select(F.col("component").alias("label"), "node", "n"), "label", "node")
-    laid = placed.select("node", "n", F.col("_part").alias("part"), F.col("_idx").alias("idx"))
+    named = least_of_group(sketched.select("doc_id", "one", "two", "n"), ["one", "two", "n"], "doc_id", "node")
+    named = written(named.select("doc_id", "node", "n"), "classes")
+    firsts = named.where("doc_id = node").select("node", "n")
+
+    own = sketched.select(F.col("doc_id").alias("node"), "sketch").join(firsts.select("node"), "node", "left_semi")
+    own = own.mapInArrow(frugal(_keys), "node long, key long")
+    members = written(least_of_group(own, ["key"], "node", "low", shared=True).select("key", "node", F.col("low_rows").alias("c")), "members")
+    # The greatest (keys shared in all, -node) of a key's members is its hub.
+    weight = members.groupBy("node").agg(F.sum("c").alias("weight"))
+    ranked = members.join(weight, "node").select("key", "c", "node", F.struct((-F.col("weight")).alias("w"), "node").alias("rank"))
+    hubs = written(least_of_group(ranked, ["key"], "rank", "hub", spread="node").select("node", "c", F.col("hub.node").alias("hub")), "hubs")
+    # The label: the hub of the commonest key, the smallest of several.
+    label = hubs.groupBy("node").agg(F.min(F.struct((-F.col("c")).alias("c"), "hub")).alias("best")).select(F.col("best.hub").alias("label"), "node")
+    placed = ordered(scratch, label.join(firsts, "node").select("label", "node", "n"), "label", "node")
+    laid = placed.select("node", "n", F.col("_part").alias("part"), F.col("_idx").alias("idx"), "label")
     laid = laid.repartition("part").sortWithinPartitions("part", "idx")
-    blocks = written(laid.mapInArrow(frugal(_blocks), "node long, block long"), "blocks")
-
-    # A class goes to its own block's tile, and to the tile with another block only if it
-    # shares a key with a class of that block.
-    at = written(members.join(blocks, "node").select("key", "node", "block"), "at")
-    spread = at.groupBy("key").agg(F.collect_set("block").alias("others")).where("size(others) > 1")
-    across = at.join(spread, "key").groupBy("node", "block").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others"))
-    across = across.select("node", "block", F.explode(F.array_except("others", F.array("block"))).alias("other"))
-    across = across.select("node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    deals = written(blocks.select("node", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side")).unionByName(across), "deals")
+    blocks = written(laid.mapInArrow(frugal(_blocks(block_classes, block_shingles)), "node long, block long, label long"), "blocks")
 
     full = docs.join(blocks.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     full = full.mapInArrow(frugal(_sets(width)), "doc_id long, shingles binary")
-    sketches = sketched.where(taking_part).select("doc_id", "n", "sketch").join(firsts, F.col("doc_id") == F.col("node"), "left_semi")
+    sketches = sketched.select("doc_id", "n", "sketch").join(firsts.select("node"), F.col("doc_id") == F.col("node"), "left_semi")
     full = written(full.join(sketches, "doc_id").select(F.col("doc_id").alias("node"), "n", "sketch", "shingles"), "sets")
-    dealt = deals.join(full, "node").select("i", "j", "side", "node", "n", "sketch", "shingles")
-    links = written(dealt.groupBy("i", "j").applyInArrow(_compare(num, den), "a long, b long"), "links")
-    scratch.drop("sets", "members", "ordered", "at", "deals")
-
-    comp = connected_components(scratch, links)
-    of_class = named.join(comp, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
-    of_class = of_class.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    out = sketched.select("doc_id", F.col("n").alias("n_shingles")).join(of_class, "doc_id", "left")
-    component = F.coalesce("component_id", "doc_id")
+
+    def links(deals: DataFrame, name: str) -> DataFrame:
+        dealt = written(deals, "deals").join(full, "node").select("i", "j", "side", "node", "component", "n", "sketch", "shingles")
+        return written(dealt.groupBy("i", "j").applyInArrow(_compare(num, den), "a long, b long"), name)
+
+    # A class goes to its own block's task, and a hub to those of the blocks labelled with it.
+    own_block = blocks.select("node", "block").unionByName(blocks.select(F.col("label").alias("node"), "block")).distinct()
+    first = links(own_block.select("node", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), F.col("node").alias("component")), "links")
+    joined = written(connected_components(scratch, first), "joined")
+    scratch.drop("hubs", "links")
+
+    # Keys whose members lie in several blocks and components are not settled.  A class goes
+    # to the task of its block and another one if that holds such a key in another component.
+    at = members.select("key", "node").join(blocks.select("node", "block"), "node").join(joined, "node", "left")
+    at = at.select("key", "node", "block", F.coalesce("component", "node").alias("component"))
+    within = written(at.groupBy("key", "block").agg(F.min("component").alias("low"), F.max("component").alias("high")), "within")
+    several = within.groupBy("key").agg(F.count("*").alias("blocks"), F.min("low").alias("low"), F.max("high").alias("high")).where("blocks > 1 AND low < high").select("key")
+    unsettled = written(within.join(several, "key"), "unsettled")
+    scratch.drop("within")
+    if not unsettled.isEmpty():
+        other = unsettled.select("key", F.col("block").alias("other"), "low", "high")
+        across = at.join(other, "key").where("block <> other AND NOT (low = component AND high = component)").select("node", "block", "component", "other").distinct()
+        across = across.select("node", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+        second = links(across, "links")
+        joined = written(connected_components(scratch, joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second)), "joined")
+    scratch.drop("sets", "members", "ordered", "unsettled")
+    out = named.select("doc_id", "node").join(joined, "node", "left")
+    return out.select("doc_id", F.coalesce("component", "node").alias("component"))
+
+
+def near_duplicates(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: tuple[int, int] = (80, 100),
+    block_classes: int = BLOCK_CLASSES, block_shingles: int = BLOCK_SHINGLES,
+) -> DataFrame:
+    """Per row of ``df``: doc_id, n_shingles, component_id, kept.
+
+    Documents whose ``width``-word shingle sets have ``den * |A and B| >= num * |A or B|``
+    for ``similarity = (num, den)`` are linked; a component is named by its smallest id.
+    """
+    scratch = Scratch(df.sparkSession, "near-duplicates")
+    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    several = repeats(docs)
+    if several:  # each text by itself, numbered in the order of doc_id
+        rows = ordered(scratch, docs, "doc_id", "text")
+        rows = rows.withColumn("row", F.shiftleft(F.col("_part").cast("long"), 33) + F.col("_idx"))
+        docs = rows.select(F.when(F.col("doc_id").isNotNull(), F.col("row")).alias("doc_id"), "text")
+        names = rows.where("doc_id IS NOT NULL").select("row", F.col("doc_id").alias("name"))
+    sketched = scratch.table(docs.mapInArrow(frugal(_sketches(width)), "doc_id long, n long, one long, two long, sketch binary"), "sketches")
+    found = _components(scratch, docs, sketched.where("n > 0 AND doc_id IS NOT NULL"), width, similarity, block_classes, block_shingles)
+    out = sketched.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left")
+    if several:
+        out = scratch.table(out, "found").join(names, F.col("doc_id") == F.col("row"), "left").drop("row")
+        first = out.groupBy("component").agg(F.min("name").alias("first")).where("component IS NOT NULL")
+        reached = scratch.table(out.select("name", "component").join(first, "component").select("name", "first"), "reached")
+        joined = connected_components(scratch, reached, "name", "first").withColumnRenamed("component", "reaches")
+        out = out.join(joined, F.col("name") == F.col("node"), "left").select(F.col("name").alias("doc_id"), "n_shingles", F.col("reaches").alias("component"))
+    component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 

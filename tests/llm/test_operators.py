@@ -103,9 +103,23 @@ def test_near_duplicates_against_all_pairs(docs, rows, width, similarity):
         assert r["kept"] == (r["doc_id"] is None or r["doc_id"] == r["component_id"])
 
 
-def test_near_duplicates_across_blocks(spark, monkeypatch):
+@pytest.fixture
+def dealt(monkeypatch):
+    """Rows of each table of deals that a call writes."""
+    seen, table = [], common.Scratch.table
+
+    def counted(self, df, name):
+        out = table(self, df, name)
+        if name == "deals":
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(common.Scratch, "table", counted)
+    return seen
+
+
+def test_near_duplicates_across_blocks(spark, dealt):
     """Small blocks make cross tiles; chains of near copies must stay whole."""
-    monkeypatch.setattr(neardup, "BLOCK_CLASSES", 3)
     rnd, made = random.Random(5), []
     for g in range(6):
         text = prose(100 + g, 60).split()
@@ -113,10 +127,42 @@ def test_near_duplicates_across_blocks(spark, monkeypatch):
             text = list(text)
             text[rnd.randrange(60)] = f"new{rnd.randrange(10**6)}"
             made.append((len(made), " ".join(text)))
-    found = neardup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"), width=3, similarity=(85, 100)).collect()
+    df = spark.createDataFrame(made, "doc_id long, text string")
     want = components(made, 3, 85, 100)
-    assert {r["doc_id"]: r["component_id"] for r in found} == want
     assert len(set(want.values())) < len(made)
+    for bounds in ({"block_classes": 3}, {"block_shingles": 100}, {"block_classes": 1}):
+        found = neardup.near_duplicates(df, width=3, similarity=(85, 100), **bounds).collect()
+        assert {r["doc_id"]: r["component_id"] for r in found} == want
+    assert len(dealt) > 3  # cross tiles were dealt
+
+
+@pytest.mark.parametrize("size", [320, 640])
+def test_a_large_group_of_near_copies_is_dealt_once(spark, dealt, size):
+    """Copies of one text with some words changed; two of them alone may be too far apart."""
+    rnd, base = random.Random(3), prose(200, 150).split()
+    made = [(size, " ".join(base))]
+    for k in range(size):
+        text = list(base)
+        for _ in range(rnd.choice([1, 2, 3])):
+            text[rnd.randrange(150)] = f"n{rnd.randrange(10**6)}"
+        made.append((k, " ".join(text)))
+    out = neardup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"), width=3, similarity=(85, 100), block_classes=64)
+    assert {r["component_id"] for r in out.collect()} == {0}
+    assert sum(dealt) < 2 * size
+
+
+def test_near_duplicates_of_rows_that_share_a_doc_id(spark):
+    """Each text is compared for itself; a doc_id's texts reach the same documents."""
+    x = prose(300, 100).split()
+    a, b = x[:92] + prose(301, 8).split(), x[:60] + prose(302, 40).split()
+    made = [(1, " ".join(x)), (2, " ".join(a)), (2, " ".join(b))]
+    assert {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"), width=3, similarity=(85, 100)).collect()} == {(1, 1), (2, 2)}
+    y, z = prose(303, 80), prose(304, 80)
+    made = [(7, y), (5, y), (5, z), (5, None), (9, z), (9, z), (4, "lone"), (4, prose(305, 20)), (3, ""), (None, y)]
+    found = neardup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"), width=3, similarity=(85, 100)).collect()
+    want = {7: 5, 5: 5, 9: 5, 4: 4, 3: 3, None: None}
+    assert len(found) == len(made) and all(r["component_id"] == want[r["doc_id"]] for r in found)
+    assert sorted(r["n_shingles"] for r in found if r["doc_id"] == 5) == [0, 78, 78]
 
 
 def test_near_duplicates_of_nothing(none):
