@@ -42,8 +42,7 @@ def features(text: str | None) -> list[float]:
     f = Features(text)
     n, chars = max(f.n_words, 1), max(f.word_chars, 1)
     out = [min(len(f.data.translate(None, drop)) / n, 4.0) for drop in _DROPS]
-    words = f.words
-    distinct = len(set(words))
+    distinct = f.n_distinct
     lines = max(f.n_lines, 1)
     repeat = f.n_repeat_words / n
     mean = f.word_chars / n
@@ -52,7 +51,7 @@ def features(text: str | None) -> list[float]:
         distinct / n, repeat, 1.0 if repeat > 0.2 else 0.0,
         f.n_dup_lines / lines, min(mean / 10, 3.0), abs(mean - 5) / 10 if mean < 30 else 2.5,
         min(f.n_lines / n, 1.0), (len(f.data) - len(f.data.translate(None, bytes(range(128, 256))))) / (len(f.data) or 1),
-        min(max(map(len, words), default=0) / 100, 3.0), min(f.n_shouts / n, 2.0),
+        min(f.longest / 100, 3.0), min(f.n_shouts / n, 2.0),
     ]
     return out
 

@@ -3,11 +3,15 @@
 A word is a maximal run of bytes other than space, tab, LF, VT, FF and CR; that is the
 pattern ``[^\\x20\\x09-\\x0D]+`` on the decoded text, because UTF-8 continuation and lead
 bytes never fall into that range.  All hashes are fixed functions of the bytes, so every
-executor and every retry of a task gets the same values.
+executor and every retry of a task gets the same values.  Long texts are hashed in pieces of
+``PIECE`` bytes, so besides the text's bytes only its word hashes grow with it.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 
 _MASK = (1 << 64) - 1
@@ -37,20 +41,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes, and windows, that are hashed at a time.
+PIECE = 1 << 20
+_POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, grown on demand."""
-    if len(_POWERS[0]) < n:
+    """The first ``n`` powers (at most ``PIECE``) of the base and of its inverse modulo 2**64,
+    grown on demand."""
+    if not _POWERS or len(_POWERS[0]) < n:
         inverse = pow(_BASE, -1, 1 << 64)
-        for k, base in enumerate((_BASE, inverse)):
-            out = np.full(1 << (n - 1).bit_length(), base, np.uint64)
+        made = []
+        for base in (_BASE, inverse):
+            out = np.full(min(1 << max(n - 1, 1).bit_length(), PIECE), base, np.uint64)
             out[0] = 1
-            _POWERS[k] = np.cumprod(out, dtype=np.uint64)
+            made.append(np.cumprod(out, dtype=np.uint64))
+        _POWERS[:] = made
     return _POWERS[0], _POWERS[1]
 
 
+_WHITE = re.compile(rb"[ \t\n\x0b\x0c\r]")
+
+
+def pieces(data: bytes, size: int = PIECE) -> Iterator[bytes]:
+    """``data`` cut before white space into parts of ``size`` bytes or little more; no word is
+    cut, so one longer than that makes its part longer."""
+    at = 0
+    while at < len(data):
+        until = at + size
+        if until < len(data):
+            found = _WHITE.search(data, until)
+            until = found.start() if found else len(data)
+        yield data[at:until] if at or until < len(data) else data
+        at = until
+
+
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets [start, end) of the words of one text given as uint8."""
     inside = np.zeros(len(data) + 2, dtype=np.int8)
@@ -59,21 +84,33 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def word_hashes(text: str | None, lower: bool = False) -> np.ndarray:
-    """One 64-bit hash per word of a whole text (none for null)."""
+def word_hashes(text: str | bytes | None, lower: bool = False) -> np.ndarray:
+    """One 64-bit hash per word of a whole text, given as UTF-8 or not (none for null)."""
     if not text:
         return np.zeros(0, np.uint64)
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    if lower:
-        data = _LOWER[data]
-    starts, ends = word_spans(data)
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    power, inverse = _powers(len(data) + 1)
-    running = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=running[1:])
-    h = (running[ends] - running[starts]) * inverse[starts]
-    return mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    data = np.frombuffer(text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass"), np.uint8)
+    out, open_, width = [], 0, 0  # sum and length of a word that the last piece has cut
+    for at in range(0, len(data), PIECE):
+        part = data[at : at + PIECE]
+        if lower:
+            part = _LOWER[part]
+        starts, ends = word_spans(part)
+        power, inverse = _powers(len(part))
+        running = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[part] * power[: len(part)], out=running[1:])
+        sums, lengths = (running[ends] - running[starts]) * inverse[starts], (ends - starts).astype(np.uint64)
+        if width:
+            if len(starts) and starts[0] == 0:
+                sums[0] = np.uint64((open_ + int(sums[0]) * pow(_BASE, width, 1 << 64)) & _MASK)
+                lengths[0] += np.uint64(width)
+            else:
+                sums, lengths = np.r_[np.uint64(open_), sums], np.r_[np.uint64(width), lengths]
+            open_ = width = 0
+        if at + PIECE < len(data) and len(ends) and ends[-1] == len(part):
+            open_, width = int(sums[-1]), int(lengths[-1])
+            sums, lengths = sums[:-1], lengths[:-1]
+        out.append(mix(sums ^ (lengths * np.uint64(0xD6E8FEB86659FD93))))
+    return np.concatenate(out) if len(out) > 1 else out[0]
 
 
 def window_hashes(words: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
@@ -81,16 +118,22 @@ def window_hashes(words: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    acc = np.full(n, _splitmix(seed * 7919 + width), np.uint64)
-    for k in range(width):
-        acc += words[k : k + n] * np.uint64(_splitmix(seed * 104729 + k) | 1)
-    return mix(acc)
+    out = np.full(n, _splitmix(seed * 7919 + width), np.uint64)
+    for at in range(0, n, PIECE):
+        acc = out[at : at + PIECE]
+        for k in range(width):
+            acc += words[at + k : at + k + len(acc)] * np.uint64(_splitmix(seed * 104729 + k) | 1)
+        acc[:] = mix(acc)
+    return out
 
 
 def sequence_hash(words: np.ndarray, seed: int = 0) -> int:
     """A signed 64-bit hash of a whole sequence of word hashes."""
-    place = mix(np.arange(len(words), dtype=np.uint64) * np.uint64(2) + np.uint64(_splitmix(seed) | 1))
-    total = np.array([_splitmix(seed + len(words))], np.uint64) + (words * (place | np.uint64(1))).sum(dtype=np.uint64)
+    total = np.array([_splitmix(seed + len(words))], np.uint64)
+    for at in range(0, len(words), PIECE):
+        part = words[at : at + PIECE]
+        place = mix(np.arange(at, at + len(part), dtype=np.uint64) * np.uint64(2) + np.uint64(_splitmix(seed) | 1))
+        total += (part * (place | np.uint64(1))).sum(dtype=np.uint64)
     return int(mix(total).view(np.int64)[0])
 
 
@@ -103,4 +146,7 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     words = word_hashes(text, lower=True)
     if not len(words):
         return words
-    return np.unique(window_hashes(words, min(width, len(words))))
+    found = window_hashes(words, min(width, len(words)))
+    del words
+    found.sort()
+    return found[np.r_[True, found[1:] != found[:-1]]]

@@ -14,15 +14,19 @@ columns are not read.
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import frugal
+from .hashing import pieces, window_hashes, word_hashes
 
 _SPACES = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -46,11 +50,18 @@ class Features:
         setattr(self, name, value)
         return value
 
-    def _words(self) -> list[bytes]:
-        return self.data.split()
+    def _hashes(self) -> np.ndarray:
+        return word_hashes(self.data)
 
     def _n_words(self) -> int:
-        return len(self.words)
+        return len(self.hashes)
+
+    def _n_distinct(self) -> int:
+        return len(np.unique(self.hashes))
+
+    def _longest(self) -> int:
+        """Bytes of the longest word."""
+        return max((len(w) for piece in pieces(self.data) for w in piece.split()), default=0)
 
     def _word_chars(self) -> int:
         return len(self.data.translate(None, _NOT_COUNTED))
@@ -61,30 +72,37 @@ class Features:
     def _n_shouts(self) -> int:
         return self.data.count(b"!!")
 
+    def _lines(self) -> tuple[int, int]:
+        """Lines with a word, and those of them that equal an earlier one.
+
+        Lines are told apart by 128 bits of BLAKE2, so long texts need no copy of them."""
+        n, seen = 0, set()
+        for line in re.finditer(rb"[^\n]+", self.data):
+            a, b = line.span()
+            if self.data[a:b].strip(_SPACES):
+                n += 1
+                seen.add(self.data[a:b] if b - a <= 16 else blake2b(self.data[a:b], digest_size=16).digest())
+        return n, n - len(seen)
+
     def _n_lines(self) -> int:
-        return sum(1 for line in self.data.split(b"\n") if line.strip(_SPACES))
+        return self.lines[0]
 
     def _n_dup_lines(self) -> int:
-        lines = [line for line in self.data.split(b"\n") if line.strip(_SPACES)]
-        return len(lines) - len(set(lines))
+        return self.lines[1]
 
     def _n_repeat_words(self) -> int:
-        w = self.words
-        windows = list(zip(w, w[1:], w[2:], w[3:], w[4:]))
-        if len(set(windows)) == len(windows):
+        """Words in windows of five found twice or more, first included; windows are told apart
+        by 64-bit hashes."""
+        windows = window_hashes(self.hashes, 5)
+        order = np.argsort(windows, kind="stable")
+        windows = windows[order]
+        same = windows[1:] == windows[:-1]
+        if not same.any():
             return 0
-        first: dict[tuple, int] = {}
-        hit: set[int] = set()
-        for i, g in enumerate(windows):
-            j = first.setdefault(g, i)
-            if j != i:
-                hit.add(i)
-                hit.add(j)
-        total, until = 0, 0
-        for i in sorted(hit):
-            total += i + 5 - max(i, until)
-            until = i + 5
-        return total
+        twice = np.r_[same, False]
+        twice[1:] |= same
+        at = np.sort(order[twice])
+        return int(np.minimum(np.diff(at, append=at[-1] + 5), 5).sum())
 
 
 @dataclass(frozen=True)
