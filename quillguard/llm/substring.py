@@ -8,21 +8,25 @@ windows of ``width - 1`` words at its two ends.
    minimiser).  A window found in two documents has the same minimiser in both, so only
    windows whose minimiser occurs in two documents can repeat; this spares the shuffle of
    all other windows and loses none.
-3. The remaining windows are grouped by (first node, window), 128 bits of independent
-   hashes, to the edges found in several documents, with the first coordinate (smallest
-   document, then position).
+3. Documents with such windows are numbered in order of doc_id, so that a place in the corpus,
+   (number, word), is one whole number.  The windows are grouped by (first node, window), two
+   64-bit hashes, to the edges found in several documents, with their first place.
 4. Nonbranching paths compact: an edge continues its predecessor if the node between has
    one edge in and one out.  Edges that also follow each other in their first source form
    a segment in one sorted pass; segments are chained to unitigs by pointer doubling joins.
-5. Occurrences are mapped to (unitig, offset).  Runs with a fixed offset difference are the
-   long repeated spans, and an occurrence in a later document than the edge's first
-   coordinate marks its span for removal; the document's own windows are then matched
-   against the spans' windows, so inner repeats of the same window go as well.
+5. Occurrences are mapped to (unitig, offset).  Runs at consecutive places of one unitig and
+   of one source are the long repeated spans; an occurrence in a later document than the
+   edge's first place belongs to a span.
+6. Source coordinates verify the spans: the document that a span's coordinates name gives the
+   SHA-256 of its words there, and the span counts only if the later document's own words
+   give the same.  Hashes of windows thus only propose.  The document's own windows are then
+   matched against the verified spans' windows, so inner repeats of a window go as well.
 
 Defined results: null, empty and short texts keep all their words; a row with a null doc_id is
 neither a source nor a copy; rows that repeat a doc_id do not make each other copies, and each
 is cut by its own text; other columns are not read.  Where a doc_id repeats, ``rep``, a hash of
-the text, tells its texts apart, and equal rows are one document; elsewhere it is 0.
+the text, tells its texts apart, and equal rows are one document; elsewhere it is 0.  A text
+may have 2**30 words and the corpus 2**33 documents; more is refused.
 """
 
 from __future__ import annotations
@@ -35,15 +39,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, frugal
-from .hashing import sequence_hash, window_hashes, word_hashes
+from .common import Scratch, frugal, least_of_group, ordered
+from .hashing import pieces, sequence_hash, window_hashes, word_hashes, word_spans
+from .neardup import repeats
 
 WIDTH, ANCHOR = 13, 5
+#: Spans whose words a source document tells in one row; one with more is read several times.
+ASKED = 1 << 15
+#: Bits of a place that count words; the bits above number the document.
+_PLACE = 30
 _NODE_SEED, _EDGE_SEED, _ANCHOR_SEED, _TEXT_SEED = 11, 12, 13, 14
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").split()
+def _bytes(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def _joined_digest(text: str | None) -> str:
+    """SHA-256 of a text's words joined by one space."""
+    digest, between = hashlib.sha256(), b""
+    for piece in pieces(_bytes(text)):
+        words = b" ".join(piece.split())
+        if words:
+            digest.update(between + words)
+            between = b" "
+    return digest.hexdigest()
 
 
 def _minimisers(words: np.ndarray, width: int, anchor: int) -> np.ndarray:
@@ -65,7 +85,7 @@ def _first_pass(width: int, anchor: int):
                 full = len(h) >= width
                 one.append(sequence_hash(h, _TEXT_SEED) if full else 0)
                 two.append(sequence_hash(h, _TEXT_SEED + 1) if full else 0)
-                digest.append(hashlib.sha256(b" ".join(_words(text))).hexdigest())
+                digest.append(_joined_digest(text))
                 anchors.append(np.unique(_minimisers(h, width, anchor)).view(np.int64) if full else np.zeros(0, np.int64))
             at = np.concatenate([[0], np.cumsum([len(a) for a in anchors])]).astype(np.int32)
             flat = np.concatenate(anchors) if anchors else np.zeros(0, np.int64)
@@ -78,14 +98,17 @@ def _first_pass(width: int, anchor: int):
 
 
 def _edges(width: int, anchor: int):
-    """(doc_id, text, anchors, rep) -> one row per distinct candidate window of each document."""
+    """(num, lead, text, anchors) -> one row per distinct candidate window of each document:
+    its place, the number of the first text with the same doc_id, tail, edge and head."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "rep", "pos", "tail", "edge", "head"]
+        names = ["place", "lead", "tail", "edge", "head"]
         for batch in batches:
-            wanted = batch.column(2)
-            for i, (doc, text, rep) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3)))):
+            wanted = batch.column(3)
+            for i, (num, lead, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)))):
                 h = word_hashes(text)
+                if len(h) >> _PLACE or num >> 33:
+                    raise ValueError("a text of more than 2**30 words, or more than 2**33 documents")
                 m = _minimisers(h, width, anchor)
                 repeated = np.asarray(wanted[i].values.to_numpy(zero_copy_only=False)).view(np.uint64)
                 pos = np.flatnonzero(np.isin(m, repeated))
@@ -96,12 +119,35 @@ def _edges(width: int, anchor: int):
                 at.sort()
                 pos, edge = pos[at], edge[at]
                 node = window_hashes(h, width - 1, _NODE_SEED)
-                cols = [np.full(len(pos), doc, np.int64), np.full(len(pos), rep, np.int64), pos.astype(np.int32), node[pos].view(np.int64), edge.view(np.int64), node[pos + 1].view(np.int64)]
+                cols = [(num << _PLACE) + pos.astype(np.int64), np.full(len(pos), lead, np.int64), node[pos].view(np.int64), edge.view(np.int64), node[pos + 1].view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
     return run
 
 
+def _span_digests(text: str | None, spans: list[tuple[int, int]], width: int) -> list[bytes]:
+    """SHA-256 of the words that the windows of each span (first window, windows) cover."""
+    data = _bytes(text)
+    starts, ends = word_spans(np.frombuffer(data, np.uint8))
+    covered = (data[starts[at] : ends[at + n + width - 2]] for at, n in spans)
+    return [hashlib.sha256(b" ".join(c.split())).digest() for c in covered]
+
+
+def _source_digests(width: int):
+    """(num, text, asked spans) -> (place, n, digest) of the words at each asked place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, count, digest = [], [], []
+            for num, text, asked in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                place += [(num << _PLACE) + a["at"] for a in asked]
+                count += [a["n"] for a in asked]
+                digest += _span_digests(text, [(a["at"], a["n"]) for a in asked], width)
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(count, pa.int32()), pa.array(digest, pa.binary())], names=["source", "n", "digest"])
+
+    return run
+
+
 def removed_mask(text: str | None, spans: list[tuple[int, int]], width: int) -> np.ndarray:
     """Which words go, given spans (first window, windows) of windows to remove."""
     h = word_hashes(text)
@@ -117,20 +163,28 @@ def removed_mask(text: str | None, spans: list[tuple[int, int]], width: int) ->
 
 
 def _apply(width: int):
-    """(doc_id, text, spans, rep) -> removed word count, digest and text of what is kept."""
+    """(doc_id, rep, text, spans) -> removed word count, digest and text of what is kept.
+
+    Spans whose words differ from those at their source's coordinates do not count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, digest, kept_text = [], [], []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                gone = removed_mask(text, [(s["at"], s["n"]) for s in spans], width)
-                words = _words(text)
-                kept = b" ".join(w for w, g in zip(words, gone) if not g)
+            for text, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                claimed = [(s["at"], s["n"]) for s in spans]
+                own = _span_digests(text, claimed, width)
+                gone = removed_mask(text, [c for c, s, d in zip(claimed, spans, own) if s["digest"] == d], width)
+                parts, at = [], 0
+                for piece in pieces(_bytes(text)):
+                    words = piece.split()
+                    parts += filter(None, [b" ".join(w for w, g in zip(words, gone[at : at + len(words)].tolist()) if not g)])
+                    at += len(words)
+                kept = b" ".join(parts)
                 removed.append(int(gone.sum()))
                 digest.append(hashlib.sha256(kept).hexdigest())
                 kept_text.append(kept.decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(3), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept_text, pa.string())],
+                [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept_text, pa.string())],
                 names=["doc_id", "rep", "n_removed", "digest", "kept_text"],
             )
 
@@ -138,26 +192,26 @@ def _apply(width: int):
 
 
 def _compacted(scratch: Scratch, edges: DataFrame) -> DataFrame:
-    """(tail, edge, head, doc, pos) of repeated edges -> (tail, edge, doc, unitig_doc,
-    unitig_pos, at): each edge's unitig, named by its first segment, and place in it."""
-    into = edges.groupBy("head").agg(F.count("*").alias("n_in"), F.min(F.struct("doc", "pos")).alias("before"))
+    """(tail, edge, head, place) of repeated edges -> (tail, edge, place, unitig, at): each
+    edge's unitig, named by the place where its first segment begins, and place in it."""
+    into = edges.groupBy("head").agg(F.count("*").alias("n_in"), F.min("place").alias("before"))
     out = edges.groupBy("tail").agg(F.count("*").alias("n_out"))
     joined = edges.join(out, "tail").join(into.withColumnRenamed("head", "tail"), "tail", "left")
     follows = (F.col("n_out") == 1) & (F.col("n_in") == 1)
-    starts = ~F.coalesce(follows & (F.col("before.doc") == F.col("doc")) & (F.col("before.pos") == F.col("pos") - 1), F.lit(False))
-    by = Window.partitionBy("doc").orderBy("pos")
-    # max(struct) carries the last start's predecessor along its segment.
-    start = F.max(F.when(starts, F.struct("pos", F.when(follows, F.col("before")).alias("before")))).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    marked = joined.select("tail", "edge", "doc", "pos", start.alias("s"))
-    marked = scratch.table(marked.select("tail", "edge", "doc", "pos", F.col("s.pos").alias("seg"), F.col("s.before").alias("before")), "marked")
-    # Chain segments: the one that ends at my predecessor's coordinate comes before me.
-    segs = marked.groupBy("doc", "seg").agg(F.max("pos").alias("last"), F.first("before").alias("before"))
-    ends = segs.select(F.col("doc").alias("e_doc"), F.col("last").alias("e_pos"), F.struct("doc", "seg").alias("up"), (F.col("last") - F.col("seg") + 1).cast("long").alias("jump"))
-    linked = segs.join(ends, (F.col("before.doc") == F.col("e_doc")) & (F.col("before.pos") == F.col("e_pos")), "left")
-    chain = scratch.table(linked.select(F.struct("doc", "seg").alias("me"), "up", F.coalesce("jump", F.lit(0).cast("long")).alias("jump")), "chain0")
+    # Places of two documents are never consecutive: a text has fewer windows than words.
+    starts = ~F.coalesce(follows & (F.col("before") == F.col("place") - 1), F.lit(False))
+    by = Window.partitionBy(F.shiftright("place", _PLACE)).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    # The last start before an edge is the greatest one; its predecessor is that of its segment.
+    seg = F.max(F.when(starts, F.col("place"))).over(by)
+    before = F.last(F.when(starts, F.coalesce(F.when(follows, F.col("before")), F.lit(-1).cast("long"))), ignorenulls=True).over(by)
+    marked = scratch.table(joined.select("tail", "edge", "place", seg.alias("seg"), before.alias("before")), "marked")
+    # Chain segments: the one that ends at my predecessor's place comes before me.
+    segs = marked.groupBy("seg").agg(F.max("place").alias("last"), F.max("before").alias("before"))
+    ends = segs.select(F.col("last").alias("e_last"), F.col("seg").alias("up"), (F.col("last") - F.col("seg") + 1).alias("jump"))
+    linked = segs.join(ends, F.col("before") == F.col("e_last"), "left")
+    chain = scratch.table(linked.select(F.col("seg").alias("me"), "up", F.coalesce("jump", F.lit(0).cast("long")).alias("jump"), F.lit(None).cast("long").alias("root")), "chain0")
     # Pointer doubling: after k rounds ``up`` is the 2**k-th segment before, or null once
     # ``root`` is known.  A round that settles nothing leaves only cycles.
-    chain = chain.withColumn("root", F.lit(None).cast(chain.schema["me"].dataType))
     k, open_before = 0, -1
     while (still := chain.where("up IS NOT NULL").count()) not in (0, open_before):
         prior = chain.select(F.col("me").alias("up"), F.col("up").alias("up2"), F.col("jump").alias("jump2"), F.col("root").alias("root2"))
@@ -169,15 +223,9 @@ def _compacted(scratch: Scratch, edges: DataFrame) -> DataFrame:
         scratch.drop(f"chain{k - 1}")
     cyclic = F.col("up").isNotNull()
     unitig = F.when(cyclic, F.col("me")).otherwise(F.coalesce("root", "me"))
-    chain = chain.select(F.col("me.doc").alias("doc"), F.col("me.seg").alias("seg"), unitig.alias("unitig"), F.when(cyclic, F.lit(0)).otherwise(F.col("jump")).alias("jump"))
-    placed = marked.join(chain, ["doc", "seg"])
-    return scratch.table(placed.select("tail", "edge", "doc", F.col("unitig.doc").alias("unitig_doc"), F.col("unitig.seg").alias("unitig_pos"), (F.col("jump") + F.col("pos") - F.col("seg")).alias("at")), "unitigs")
-
-
-def repeats(df: DataFrame, doc_id: str) -> bool:
-    """Whether any doc_id is found in several rows."""
-    ids = df.select(F.col(doc_id).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").groupBy("doc_id").count()
-    return not ids.where("count > 1").isEmpty()
+    chain = chain.select(F.col("me").alias("seg"), unitig.alias("unitig"), F.when(cyclic, F.lit(0)).otherwise(F.col("jump")).alias("jump"))
+    placed = marked.join(chain, "seg")
+    return scratch.table(placed.select("tail", "edge", "place", "unitig", (F.col("jump") + F.col("place") - F.col("seg")).alias("at")), "unitigs")
 
 
 def _rep(several: bool, text: str) -> Column:
@@ -185,60 +233,87 @@ def _rep(several: bool, text: str) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit(""))) if several else F.lit(0).cast("long")
 
 
-def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, anchor: int = ANCHOR, several: bool | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, spans, candidates): every row's doc_id, rep, n_words, digest of its words and
-    whether it is a later copy of a whole word sequence; per document the removable spans
-    (first window ``at``, windows ``n``, unitig and offset); texts of the documents that
-    have any candidate window."""
+def _numbered(scratch: Scratch, wanted: DataFrame, several: bool) -> DataFrame:
+    """``wanted`` with ``num``, gapless in order of (doc_id, rep), and ``lead``, the number of
+    the first text with the same doc_id."""
+    placed = ordered(scratch, wanted, "doc_id", "rep")
+    start, parts = 0, []
+    for part, n in placed.groupBy("_part").count().orderBy("_part").collect():  # one row per part
+        parts.append((part, start))
+        start += n
+    at = wanted.sparkSession.createDataFrame(parts, "_part int, _start long")
+    out = placed.join(F.broadcast(at), "_part").withColumn("num", F.col("_start") + F.col("_idx")).drop("_part", "_idx", "_start")
+    if several:
+        return least_of_group(out, ["doc_id"], "num", "lead").drop("lead_rows")
+    return out.withColumn("lead", F.col("num"))
+
+
+def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, anchor: int = ANCHOR, several: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, spans): every row's doc_id, rep, n_words, digest of its words and whether it
+    is a later copy of a whole word sequence; and the texts with removable spans: doc_id, rep,
+    text and spans (first window ``at``, windows ``n``, unitig, offset in it, source place
+    and digest of the source's words there)."""
     scratch = Scratch(df.sparkSession, "substring")
     several = repeats(df, doc_id) if several is None else several
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), _rep(several, text).alias("rep"))
     read = scratch.table(docs.mapInArrow(frugal(_first_pass(width, anchor)), "doc_id long, rep long, n_words long, one long, two long, digest string, anchors array<long>"), "read")
     whole = (F.col("n_words") >= width) & F.col("doc_id").isNotNull()
-    first = read.where(whole).groupBy("one", "two", "n_words").agg(F.min("doc_id").alias("first"))
-    named = read.join(first, ["one", "two", "n_words"], "left")
-    copy = F.coalesce(whole & (F.col("doc_id") != F.col("first")), F.lit(False))
+    keyed = read.where(whole).select("doc_id", "rep", "one", "two", "n_words")
+    # Later copies of a whole word sequence, and all else.
+    later = least_of_group(keyed, ["one", "two", "n_words"], "doc_id", "first").where("doc_id > first").select("doc_id", "rep").distinct()
+    later = scratch.table(later, "copies").withColumn("copy", F.lit(True))
+    named = read.drop("one", "two").join(later, ["doc_id", "rep"], "left")
+    copy = F.coalesce("copy", F.lit(False))
     named = scratch.table(named.select("doc_id", "rep", "n_words", "digest", copy.alias("copy"), F.when(whole & ~copy, F.col("anchors")).alias("anchors")), "named")
-    scratch.drop("read")
+    scratch.drop("read", "copies")
 
-    anchors = named.select("doc_id", "rep", F.explode("anchors").alias("anchor")).repartition("anchor")
+    anchors = named.select("doc_id", "rep", F.explode("anchors").alias("anchor"))
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     wanted = anchors.join(shared, "anchor").groupBy("doc_id", "rep").agg(F.collect_set("anchor").alias("anchors"))
-    wanted = scratch.table(wanted, "wanted")
+    wanted = scratch.table(_numbered(scratch, wanted, several), "wanted")
     documents = scratch.table(named.drop("anchors"), "documents")
-    scratch.drop("named")
+    scratch.drop("named", "ordered")
 
-    candidates = scratch.table((docs.dropDuplicates(["doc_id", "rep"]) if several else docs).join(wanted, ["doc_id", "rep"]).select("doc_id", "text", "anchors", "rep"), "candidates")
+    texts = docs.dropDuplicates(["doc_id", "rep"]) if several else docs
+    candidates = scratch.table(texts.join(wanted, ["doc_id", "rep"]).select("num", "lead", "text", "anchors", "doc_id", "rep"), "candidates")
     scratch.drop("wanted")
-    found = scratch.table(candidates.mapInArrow(frugal(_edges(width, anchor)), "doc_id long, rep long, pos int, tail long, edge long, head long"), "found")
-    # A source is named by doc_id, and by rep only where that is needed.
-    doc = F.struct("doc_id", "rep") if several else F.col("doc_id")
-    number = lambda c: F.col(f"{c}.doc_id" if several else c)
-    edges = found.groupBy("tail", "edge").agg(F.min("head").alias("head"), F.min(F.struct(doc.alias("doc"), "pos")).alias("s"), F.max("doc_id").alias("hi")).where(number("s.doc") < F.col("hi"))
-    edges = edges.select("tail", "edge", "head", F.col("s.doc").alias("doc"), F.col("s.pos").alias("pos"))
-    edges = scratch.table(edges, "repeated")
-    placed = _compacted(scratch, edges)
+    found = scratch.table(candidates.select("num", "lead", "text", "anchors").mapInArrow(frugal(_edges(width, anchor)), "place long, lead long, tail long, edge long, head long"), "found")
+    number = lambda c: F.shiftright(c, _PLACE)
+    # A text's place in the order of doc_ids: its own number where no doc_id repeats.
+    lead = F.col("lead") if several else number("place")
+    edges = found.groupBy("tail", "edge").agg(F.min("head").alias("head"), F.min("place").alias("place"), F.max(lead).alias("last")).where(number("place") < F.col("last"))
+    edges = scratch.table(edges.drop("last"), "repeated")
+    placed = _compacted(scratch, edges).withColumnRenamed("place", "source")
     scratch.drop("repeated", "marked")
 
-    later = found.drop("head").join(placed, ["tail", "edge"]).where(F.col("doc_id") > number("doc"))
-    later = later.select("doc_id", "rep", "pos", "unitig_doc", "unitig_pos", "at", (F.col("at") - F.col("pos")).alias("diagonal"))
-    later = scratch.table(later, "later")
+    after = found.drop("head").join(placed, ["tail", "edge"]).where(lead > number("source"))
+    after = scratch.table(after.select("place", "unitig", "at", "source"), "after")
     scratch.drop("found", "unitigs")
-    # A span: consecutive windows of the document at consecutive places of one unitig.
-    by = Window.partitionBy("doc_id", "rep").orderBy("pos")
-    same = (F.col("pos") == F.lag("pos").over(by) + 1) & (F.col("unitig_doc") == F.lag("unitig_doc").over(by)) & (F.col("unitig_pos") == F.lag("unitig_pos").over(by)) & (F.col("diagonal") == F.lag("diagonal").over(by))
-    runs = later.withColumn("start", F.when(F.coalesce(same, F.lit(False)), None).otherwise(F.col("pos")))
+    # A span: consecutive windows of the document at consecutive places of one unitig and of
+    # one source, so that the source's coordinates name all of its words.
+    by = Window.partitionBy(number("place")).orderBy("place")
+    same = (F.col("place") == F.lag("place").over(by) + 1) & (F.col("unitig") == F.lag("unitig").over(by)) & (F.col("at") == F.lag("at").over(by) + 1) & (F.col("source") == F.lag("source").over(by) + 1)
+    runs = after.withColumn("start", F.when(F.coalesce(same, F.lit(False)), None).otherwise(F.col("place")))
     runs = runs.withColumn("start", F.max("start").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("doc_id", "rep", "start").agg(F.count("*").cast("int").alias("n"), F.first("unitig_doc").alias("unitig_doc"), F.first("unitig_pos").alias("unitig_pos"), F.min("at").alias("offset"))
-    spans = spans.groupBy("doc_id", "rep").agg(F.collect_list(F.struct(F.col("start").alias("at"), "n", "unitig_doc", "unitig_pos", "offset")).alias("spans"))
-    spans = scratch.table(spans, "spans")
-    scratch.drop("later")
-    return documents, spans, candidates
+    runs = runs.groupBy("start").agg(F.count("*").cast("int").alias("n"), F.min("unitig").alias("unitig"), F.min("at").alias("offset"), F.min("source").alias("source"))
+    runs = scratch.table(runs, "runs")
+    scratch.drop("after")
+    # The sources' words at the spans' coordinates, asked for once each.
+    asked = least_of_group(runs.select("source", "n", number("source").alias("num")).distinct(), ["num"], "source", "low")
+    word = lambda c: F.col(c).bitwiseAND(F.lit((1 << _PLACE) - 1)).cast("int")
+    turn = F.pmod(F.xxhash64("source", "n"), F.ceil(F.col("low_rows") / ASKED))
+    asked = asked.groupBy("num", turn.alias("turn")).agg(F.collect_list(F.struct(word("source").alias("at"), "n")).alias("asked"))
+    told = candidates.select("num", "text").join(asked.drop("turn"), "num").mapInArrow(frugal(_source_digests(width)), "source long, n int, digest binary")
+    spans = runs.join(told, ["source", "n"])
+    spans = spans.groupBy(number("start").alias("num")).agg(F.collect_list(F.struct(word("start").alias("at"), "n", "unitig", "offset", "source", "digest")).alias("spans"))
+    spans = scratch.table(candidates.select("num", "doc_id", "rep", "text").join(spans, "num").drop("num"), "spans")
+    scratch.drop("runs", "candidates")
+    return documents, spans
 
 
 def _with_changes(df: DataFrame, doc_id: str, text: str, width: int, several: bool | None = None) -> tuple[DataFrame, DataFrame]:
-    documents, spans, candidates = repeated_spans(df, doc_id, text, width, several=several)
-    changed = candidates.select("doc_id", "text", "rep").join(spans, ["doc_id", "rep"]).select("doc_id", "text", F.transform("spans", lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"))).alias("spans"), "rep")
+    documents, spans = repeated_spans(df, doc_id, text, width, several=several)
+    changed = spans.select("doc_id", "rep", "text", F.transform("spans", lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), s["digest"].alias("digest"))).alias("spans"))
     changed = changed.mapInArrow(frugal(_apply(width)), "doc_id long, rep long, n_removed long, changed_digest string, kept_text string")
     return documents, changed
 

@@ -4,11 +4,14 @@ import hashlib
 import random
 import re
 import struct
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from quillguard.llm import bpe, chat, classifier, common, embeddings, mixing, neardup, quality, sharding, substring, warc
+from quillguard.llm import bpe, chat, classifier, common, embeddings, hashing, mixing, neardup, quality, sharding, substring, warc
 
 WORDS = "alpha beta gamma delta eps zeta eta theta iota kappa".split()
 
@@ -175,6 +178,34 @@ def test_connected_components_of_a_path_and_a_star(spark):
     assert {r["node"]: r["component"] for r in found} == {**{k: 0 for k in range(41)}, **{100 + k: 100 for k in range(30)}}
 
 
+@pytest.mark.parametrize("piece", [5, 64])
+def test_hashes_do_not_depend_on_the_pieces(monkeypatch, piece):
+    texts = ["", " ", "a", "ab cd  ef\n" * 30, "é中😀 x" * 20, "longword" * 40 + " b", " c" * 33 + "\t"]
+    want = [(hashing.word_hashes(t, True).tolist(), hashing.sequence_hash(hashing.word_hashes(t)), hashing.shingle_set(t, 3).tolist()) for t in texts]
+    monkeypatch.setattr(hashing, "PIECE", piece)
+    monkeypatch.setattr(hashing, "_POWERS", [])
+    assert want == [(hashing.word_hashes(t, True).tolist(), hashing.sequence_hash(hashing.word_hashes(t)), hashing.shingle_set(t, 3).tolist()) for t in texts]
+    for t in texts:
+        cut_up = list(hashing.pieces(t.encode(), piece))
+        assert b"".join(cut_up) == t.encode() and [w for p in cut_up for w in p.split()] == words(t)
+
+
+LONG = """
+import resource
+from quillguard.llm import hashing, quality
+text = "".join(f"word{k % 50021} " for k in range(10_500_000))[:100_000_000]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+{call}
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+
+
+@pytest.mark.parametrize("call", ["hashing.shingle_set(text, 5)", "quality.Features(text).n_repeat_words"])
+def test_memory_of_a_text_of_100_megabytes(call):
+    grown = subprocess.run([sys.executable, "-c", LONG.replace("{call}", call)], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert int(grown.stdout) < 6 * 100_000
+
+
 # 3
 
 
@@ -239,6 +270,38 @@ def test_substring_dedup_of_rows_that_repeat_a_doc_id(spark):
     assert sorted(((r["doc_id"], r["_n_removed"], hashlib.sha256(b" ".join(words(r["text"]))).hexdigest()) for r in out), key=str) == sorted(want, key=str)
 
 
+def test_spans_whose_words_differ_from_their_source_do_not_count():
+    import pyarrow as pa
+
+    text = prose(86, 40)
+    good = substring._span_digests(text, [(3, 2)], 13)[0]
+    assert good == hashlib.sha256(b" ".join(words(text)[3:17])).digest()
+    spans = [{"at": 3, "n": 2, "digest": good}, {"at": 20, "n": 4, "digest": hashlib.sha256(b"other").digest()}]
+    kind = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("digest", pa.binary())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0]), pa.array([text]), pa.array([spans], kind)], names=["doc_id", "rep", "text", "spans"])
+    row = next(substring._apply(13)([batch])).to_pylist()[0]
+    assert row["n_removed"] == 14 and row["kept_text"].encode().split() == words(text)[:3] + words(text)[17:]
+
+
+def test_sources_are_asked_in_several_rows(spark, monkeypatch):
+    monkeypatch.setattr(substring, "ASKED", 2)
+    source = prose(87, 200).split()
+    made = [(0, " ".join(source))] + [(k, " ".join([f"u{k}", *source[7 * k : 7 * k + 13 + k], f"v{k}"])) for k in range(1, 12)]
+    out = {r["doc_id"]: r for r in substring.substring_dedup(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    for i, n, gone, digest in cut(made, 13):
+        assert out[i]["_n_removed"] == gone and hashlib.sha256(b" ".join(words(out[i]["text"]))).hexdigest() == digest
+
+
+def test_spans_name_their_source(spark):
+    shared = prose(88, 30)
+    made = [(3, f"a b c {shared} d"), (8, f"e {shared} f g"), (9, f"h {shared}")]
+    _, spans = substring.repeated_spans(spark.createDataFrame(made, "doc_id long, text string"))
+    for r in spans.collect():
+        (s,) = r["spans"]
+        assert (s["at"], s["n"], s["source"]) == (1, 18, 3)
+        assert bytes(s["digest"]) == hashlib.sha256(" ".join(shared.split()).encode()).digest()
+
+
 def test_op3_gives_one_row_for_each_row(spark, tmp_path):
     made = [(1, prose(80, 13) + " a"), (2, "b " + prose(80, 13)), (2, "b " + prose(80, 13)), (2, prose(82, 20)), (3, prose(82, 30)), (3, prose(83, 30))]
     spark.createDataFrame(made, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
