@@ -11,6 +11,11 @@ cutting anywhere inside a gap with hidden boundaries gives one below which nothi
 feasible.  While the two differ, the gaps that a cut can fall into are refined, so a few
 aggregations of one numeric table decide exactly, with at most ``CELLS`` rows each.
 
+Greedy cuts fill the first shards and can leave the last ones empty.  So the cuts are then
+spread under the capacity found, among the boundaries known by then: each goes where it comes
+nearest to an equal share of what is left, as far as what follows still fits, and every shard
+gets a group while there are groups left.
+
 Defined results: a null text counts as empty (size 1, CRC 0, one group with empty texts);
 repeated rows have the same text and stay in one shard; null doc_ids come first in the order;
 other columns are not read.
@@ -18,14 +23,14 @@ other columns are not read.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, ordered
+from .common import Scratch, least_of_group, ordered
 
 CELLS = 4096
 
@@ -65,6 +70,28 @@ class _Known:
                 low = mid + 1
         return low
 
+    def spread(self, capacity: int) -> list[int]:
+        """Cuts at known boundaries, no part over ``capacity``, as near to equal parts as comes."""
+        ends = self.at[1:]
+        # The earliest place of each cut from which the rest still fits, last cut first.
+        least = [self.total]
+        for _ in range(self.shards - 1):
+            least.append(ends[bisect_left(ends, least[-1] - capacity)] if least[-1] > capacity else 0)
+        cuts, at, taken = [], 0, 0
+        for left in range(self.shards, 0, -1):
+            if taken == len(ends):
+                cuts.append(at)
+                continue
+            low = max(taken, bisect_left(ends, least[left - 1]))
+            high = min(bisect_right(ends, at + capacity) - 1, max(len(ends) - left, taken))
+            want = at + (self.total - at) / left
+            near = min(max(bisect_left(ends, want), low), high)
+            if near > low and want - ends[near - 1] <= ends[near] - want:
+                near -= 1
+            cuts.append(ends[near])
+            at, taken = ends[near], near + 1
+        return cuts
+
     def open_ranges(self, low: int, high: int) -> tuple[list[tuple[int, int]], int]:
         """Ranges with hidden boundaries that a cut can reach with a capacity between
         ``low`` and ``high``, and a bound on the boundaries in them."""
@@ -98,7 +125,7 @@ class _Known:
 def minimax_cuts(boundaries: DataFrame, end: str, total: int, shards: int) -> tuple[int, list[int]]:
     """(capacity, cuts): the least capacity for which greedy cutting at the values of
     ``end`` (running totals of atomic groups, the last being ``total``) gives at most
-    ``shards`` parts, and those cuts; cuts past the last row repeat the total."""
+    ``shards`` parts, and cuts spread under it; cuts past the last row repeat the total."""
     if not total:
         return 0, []
     known = _Known(total, shards)
@@ -118,7 +145,7 @@ def minimax_cuts(boundaries: DataFrame, end: str, total: int, shards: int) -> tu
         low = known.smallest(known.hopeful, least, high)
         ranges, left = known.open_ranges(low, high)
         if not ranges:
-            return high, known.path(high, known.sure)
+            return high, known.spread(high)
         cells = cells * 2 if before is not None and left >= before else CELLS
         before = left
 
@@ -129,9 +156,9 @@ def shard_by_bytes(df: DataFrame, shards: int, doc_id: str = "doc_id", text: str
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.sha2(body, 256).alias("group"))
     rows = scratch.table(rows, "rows")
-    first = rows.groupBy("group").agg(F.min("doc_id").alias("first"))
     # The order of rows: by group, groups by smallest id; ids spread a large group over parts.
-    placed = ordered(scratch, rows.join(first, "group"), "first", "group", "doc_id")
+    named = least_of_group(rows, ["group"], "doc_id", "first").drop("first_rows")
+    placed = ordered(scratch, named, "first", "group", "doc_id")
     parts = placed.groupBy("_part").agg(F.count("*").alias("n"), F.sum("size").alias("s")).orderBy("_part").collect()
     n = s = 0
     offsets = []

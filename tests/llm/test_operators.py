@@ -339,6 +339,28 @@ def test_minimax_against_a_scan(spark, seed, monkeypatch):
     assert capacity == low and set(cuts) <= set(ends) and cuts[-1] == ends[-1]
 
 
+@pytest.mark.parametrize("seed", range(200))
+def test_cuts_are_spread_under_the_capacity(seed):
+    rnd = random.Random(seed)
+    shards, n = rnd.randrange(1, 10), rnd.randrange(1, 30)
+    sizes = [rnd.choice([1, 5, 100, rnd.randint(1, 1000)]) for _ in range(n)]
+    ends = np.cumsum(sizes).tolist()
+    known = sharding._Known(ends[-1], shards)
+    known.at, known.hidden = [0, *ends], {}
+    capacity = known.smallest(known.sure, 1, ends[-1])
+    cuts = known.spread(capacity)
+    assert len(cuts) == shards and cuts[-1] == ends[-1] and set(cuts) <= set(ends)
+    parts = np.diff([0, *cuts])
+    assert parts.max() == capacity and (parts[: min(shards, n)] > 0).all()
+
+
+def test_no_shard_is_empty_beside_a_large_group(spark):
+    made = [(k, "same text of many copies") for k in range(400)] + [(1000 + k, f"t{k}") for k in range(400)]
+    got = sharding.shard_by_bytes(spark.createDataFrame(made, "doc_id long, text string"), 8).groupBy("shard").count().collect()
+    assert {r["shard"] for r in got} == set(range(8))
+    assert min(r["count"] for r in got) > 30
+
+
 def test_shards_of_odd_rows(docs, none, rows):
     found = sharding.shard_by_bytes(docs, 8).collect()
     assert len(found) == len(rows)
