@@ -1,21 +1,22 @@
 """Sources interleaved to target weights by Pfair scheduling.
 
-Rows of a source are cut into blocks of ``block_rows`` in order of doc_id.  Weights are
-fractions a/D over one denominator.  Block k of a source with weight w may run from slot
-floor(k / w) on and must end by slot ceil((k + 1) / w); in each slot the released block with
-the earliest deadline runs.  Weights are exact fractions, never rounded.  With weights summing
-to one, every source is then less than one block away from its target in every prefix of a
-phase.  The schedule repeats after D slots: the driver takes one step for each of D slots, or
-for each slot of the phase where that is shorter (square roots have no short period), so its
-work is at most two steps a block.  Places are handed on in cells of ``CELL`` blocks; the
-driver never holds more than ``HELD`` of them besides one open cell a source.
-
-When a source has no blocks left, the others go on with their weights renormalised, a new
-phase; every row is placed exactly once.
-
-Defined results: a null source is a source of its own; repeated rows are placed each; a source
-missing from the given weights is scheduled in a last phase by size; other columns pass
-through, but those of ``ADDED`` names are replaced.
+Rows of a source are cut into blocks of ``block_rows`` in order of doc_id.  A fluid of all
+sources would serve each at its weight over the weights of the sources that have rows left.
+With f(t) a source's share of the fluid after t slots, in blocks, its block k may run from
+slot floor(f^-1(k)) on and must end by slot ceil(f^-1(k + 1)); in each slot the released block
+with the earliest deadline runs.  Weights are exact fractions, never rounded, and so are
+releases and deadlines: the fluid's time is piecewise linear, with one piece between two ends
+of sources.  Every source is then less than one block away from its share in every prefix of
+the mixture, also after others have ended.
+
+The driver takes one step a block, sees no row, and hands places on in cells of ``CELL``
+blocks, of which it never holds more than ``HELD`` besides one open cell a source.  By default
+a block has ``BLOCK_ROWS`` rows, more where that would make over ``MOST_BLOCKS`` of them, so
+the driver's work is bounded for any table; the guarantee is in blocks either way.
+
+Defined results: a null source is a source of its own; repeated rows are placed each; sources
+missing from the given weights, or of weight 0, come after all others, by size; other columns
+pass through, but those of ``ADDED`` names are replaced.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from __future__ import annotations
 import heapq
 import math
 from array import array
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from fractions import Fraction
-from itertools import count, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,10 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, ordered
 
-BLOCK_ROWS = 16
+BLOCK_ROWS, MOST_BLOCKS = 16, 1 << 21
 #: Blocks of a source whose places make one row of the schedule, and places that the driver
 #: gathers before it writes them.
-CELL, HELD = 4096, 1 << 21
+CELL, HELD = 4096, 1 << 18
 
 
 ADDED = ("_phase", "_block", "_slot", "_position")
@@ -55,70 +56,90 @@ def exact_shares(weights: dict) -> dict:
 rounded = exact_shares
 
 
-def turns(shares: dict) -> Iterator:
-    """The source of each slot, without end: earliest deadline first among released blocks."""
-    period = sum(shares.values())
+class Fluid:
+    """The slots at which the fluid of sources with ``blocks`` and whole weights ``shares`` has
+    served given parts of them.  A source's own clock runs at blocks / share."""
+
+    def __init__(self, blocks: dict, shares: dict):
+        self.shares = shares
+        by_end = sorted(blocks, key=lambda s: Fraction(blocks[s], shares[s]))
+        self.clock = [blocks[s] / shares[s] for s in by_end]  # to look up, then compared exactly
+        self.exact = [(blocks[s], shares[s]) for s in by_end]
+        # Before the i-th end: blocks of sources that ended, and the shares of the others.
+        self.ended, self.active = [0], [sum(shares.values())]
+        for s in by_end:
+            self.ended.append(self.ended[-1] + blocks[s])
+            self.active.append(self.active[-1] - shares[s])
+        #: The whole slots after which 1, 2, ... sources have ended.
+        self.ends = [self.ended[i] + self.active[i] * n // share for i, (n, share) in enumerate(self.exact)]
+
+    def at(self, s, k: int) -> tuple[int, int]:
+        """(whole slots, remainder in units of 1 / share) when ``s`` has been served k blocks."""
+        share = self.shares[s]
+        i = bisect_right(self.clock, k / share)
+        while i < len(self.exact) and self.exact[i][0] * share <= k * self.exact[i][1]:
+            i += 1
+        while i and self.exact[i - 1][0] * share > k * self.exact[i - 1][1]:
+            i -= 1
+        whole, rest = divmod(self.active[i] * k, share)
+        return self.ended[i] + whole, rest
+
+
+def turns(blocks: dict, shares: dict) -> Iterator[tuple]:
+    """(source, its block) of each slot: earliest deadline first among released blocks."""
+    fluid = Fluid(blocks, shares)
     waiting = [(0, n, s, 0) for n, s in enumerate(shares)]
     heapq.heapify(waiting)
     ready: list = []
-    for slot in count():
+    for slot in range(sum(blocks.values())):
         while waiting and waiting[0][0] <= slot:
             _, n, s, k = heapq.heappop(waiting)
-            deadline = -(-(k + 1) * period // shares[s])
-            heapq.heappush(ready, (deadline, n, s, k))
-        deadline, n, s, k = heapq.heappop(ready)
+            whole, rest = fluid.at(s, k + 1)
+            # The next block's release is this one's deadline before rounding.
+            heapq.heappush(ready, (whole + (rest > 0), n, s, k, whole))
+        deadline, n, s, k, released = heapq.heappop(ready)
         if deadline <= slot:
             raise AssertionError("a block missed its deadline")
-        yield s
-        heapq.heappush(waiting, ((k + 1) * period // shares[s], n, s, k + 1))
+        yield s, k
+        if k + 1 < blocks[s]:
+            heapq.heappush(waiting, (released, n, s, k + 1))
 
 
 def pattern(shares: dict) -> list:
     """The source of each slot of one period."""
-    return list(islice(turns(shares), sum(shares.values())))
-
-
-def phases(blocks: dict, weights: dict, put: Callable) -> list[dict]:
-    """Phases of the schedule, each until the last block of some source: by source the first
-    block, the block after the last and the blocks of one period; the first slot; the slots of
-    a period (0 if the phase ends in the first).  ``put`` (phase, source, cell, places) is
-    given the places of the period's blocks in cells."""
-    left, first_slot, out = {s: n for s, n in blocks.items() if n}, 0, []
-    done = {s: 0 for s in left}
-    while left:
-        known = {s: weights[s] for s in left if (weights.get(s) or 0) > 0}
-        shares = exact_shares(known or {s: left[s] for s in left})
-        period = sum(shares.values())
-        # After so many whole periods no source has ended, and one ends in the next.
-        whole = min((left[s] - 1) // shares[s] for s in shares)
-        last = {s: left[s] - whole * shares[s] for s in shares}
-        ran, open_ = dict.fromkeys(shares, 0), {s: array("q") for s in shares}
-        end = None
-        for slot, s in enumerate(turns(shares)):
-            open_[s].append(slot)
-            ran[s] += 1
-            if not ran[s] % CELL:
-                put(len(out), s, ran[s] // CELL - 1, open_[s])
-                open_[s] = array("q")
-            if end is None and ran[s] == last[s]:
-                end, part = slot + 1, dict(ran)
-            if end is not None and not whole or slot + 1 == period:
-                break
-        for s, at in open_.items():
-            if at:
-                put(len(out), s, ran[s] // CELL, at)
-        first = {s: done[s] for s in shares}
-        for s in shares:
-            n = whole * shares[s] + part[s]
-            done[s] += n
-            left[s] -= n
-        out.append({"from": first, "until": {s: done[s] for s in shares}, "shares": ran, "slot": first_slot, "period": period if whole else 0})
-        first_slot += whole * period + end
-        left = {s: n for s, n in left.items() if n}
-    return out
-
-
-def mix_sources(df: DataFrame, weights: dict | None = None, source: str = "source", doc_id: str = "doc_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    return [s for s, _ in turns(shares, shares)]
+
+
+def schedule(rows: dict, weights: dict, block_rows: int, put: Callable) -> None:
+    """Places the blocks of sources with ``rows`` (none empty): ``put`` (source, cell, slots,
+    positions of first rows, phases) is given them in cells.  A phase ends with a source."""
+    first_slot = first_row = first_phase = 0
+    known = {s: w for s in rows if (w := weights.get(s) or 0) > 0}
+    for group in (known, {s: rows[s] for s in rows if s not in known}):
+        if not group:
+            continue
+        blocks = {s: -(-rows[s] // block_rows) for s in group}
+        shares = exact_shares(group)
+        blocks = {s: blocks[s] for s in shares}
+        ends = Fluid(blocks, shares).ends
+        open_ = {s: (array("q"), array("q"), array("q")) for s in shares}
+        phase = 0
+        for slot, (s, k) in enumerate(turns(blocks, shares)):
+            while ends[phase] <= slot:
+                phase += 1
+            cell = open_[s]
+            cell[0].append(first_slot + slot)
+            cell[1].append(first_row)
+            cell[2].append(first_phase + phase)
+            first_row += min(block_rows, rows[s] - k * block_rows)
+            if len(cell[0]) == CELL or k + 1 == blocks[s]:
+                put(s, k // CELL, *cell)
+                open_[s] = (array("q"), array("q"), array("q"))
+        first_slot += slot + 1
+        first_phase += len(blocks)
+
+
+def mix_sources(df: DataFrame, weights: dict | None = None, source: str = "source", doc_id: str = "doc_id", block_rows: int | None = None) -> DataFrame:
     """``df`` with ``_phase``, ``_block`` (of its source), ``_slot`` and ``_position`` (order of
     the mixture, gapless).  ``weights`` maps sources to target weights; by default a source's
     weight is the square root of its rows, which lifts small sources over a hot one."""
@@ -126,7 +147,11 @@ def mix_sources(df: DataFrame, weights: dict | None = None, source: str = "sourc
     clash = {c: f"_in{i}" for i, c in enumerate(df.columns) if c not in ADDED}
     inner = df.select(*(F.col(f"`{c}`").alias(n) for c, n in clash.items()))
     s, d = clash[source], clash[doc_id]
-    placed = ordered(scratch, inner, s, d)
+    # Only keys are sorted; other columns wait under a row number and are joined once.
+    apart = len(clash) > 2
+    if apart:
+        inner = scratch.table(inner.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    placed = ordered(scratch, inner.select(s, d, "_row") if apart else inner, s, d)
     # One row per part and source: bounded by parts + sources, not by documents.
     held = placed.groupBy(F.col(s).alias("s"), "_part").agg(F.count("*").alias("n"), F.min("_idx").alias("low")).collect()
     rows: dict = {}
@@ -136,51 +161,40 @@ def mix_sources(df: DataFrame, weights: dict | None = None, source: str = "sourc
         rows[r["s"]] = rows.get(r["s"], 0) + r["n"]
     if weights is None:
         weights = {k: Fraction(n**0.5) for k, n in rows.items()}
-    blocks = {k: -(-n // block_rows) for k, n in rows.items()}
-    number = {k: n for n, k in enumerate(blocks)}
-    fields = pa.schema([("_c_source", pa.int32()), ("_c_phase", pa.int32()), ("_c_cell", pa.int64()), ("_base", pa.int64()), ("_at", pa.list_(pa.int32()))])
-    cells, tables = [], []
+    if block_rows is None:
+        block_rows = max(BLOCK_ROWS, -(-sum(rows.values()) // MOST_BLOCKS))
+    number = {k: n for n, k in enumerate(rows)}
+    fields = pa.schema([("_n", pa.int32()), ("_cell", pa.int64()), ("_base", pa.int64()), ("_at", pa.list_(pa.int32())), ("_from", pa.int64()), ("_places", pa.list_(pa.int64())), ("_phases", pa.list_(pa.int32()))])
+    cells, tables, waiting = [], [], [0]
 
     def write():
         made = pa.Table.from_pylist(cells, schema=fields)
         tables.append(scratch.table(spark.createDataFrame(made), f"cells{len(tables)}"))
         cells.clear()
+        waiting[0] = 0
 
-    def put(phase, k, cell, at):
-        cells.append({"_c_source": number[k], "_c_phase": phase, "_c_cell": cell, "_base": at[0], "_at": [x - at[0] for x in at]})
-        if len(cells) >= HELD // CELL:
+    def put(k, cell, slots, places, phases):
+        cells.append({"_n": number[k], "_cell": cell, "_base": slots[0], "_at": [x - slots[0] for x in slots], "_from": places[0], "_places": [x - places[0] for x in places], "_phases": phases.tolist()})
+        waiting[0] += len(slots)
+        if waiting[0] >= HELD:
             write()
 
-    table = []
-    for p, phase in enumerate(phases(blocks, weights, put)):
-        for k, share in phase["shares"].items():
-            if phase["from"][k] < phase["until"][k]:
-                table.append((k, number[k], p, phase["from"][k], phase["until"][k], phase["period"], phase["slot"], share))
+    schedule(rows, weights, block_rows, put)
     write()
     places = tables[0]
     for more in tables[1:]:
         places = places.unionByName(more)
-    schedule = spark.createDataFrame(table, "s string, _n int, _phase int, _from long, _until long, _period long, _first long, _share long")
-    offset = spark.createDataFrame(offsets, "s string, _part int, _shift long")
+    offset = spark.createDataFrame([(*o, number[o[0]]) for o in offsets], "s string, _part int, _shift long, _n int")
     ranked = placed.join(F.broadcast(offset), placed[s].eqNullSafe(offset["s"]) & (placed["_part"] == offset["_part"]))
-    ranked = ranked.withColumn("_rank", F.col("_idx") + F.col("_shift")).withColumn("_block", F.floor(F.col("_rank") / block_rows)).drop("s", "_part", "_idx", "_shift")
-    # The schedule has one row per source and phase, each source in at most as many phases
-    # as there are sources; its cells have one row per CELL blocks.
-    out = ranked.join(F.broadcast(schedule), ranked[s].eqNullSafe(schedule["s"]) & (F.col("_block") >= F.col("_from")) & (F.col("_block") < F.col("_until")))
-    k = F.col("_block") - F.col("_from")
-    out = out.withColumn("_turn", F.floor(k / F.col("_share"))).withColumn("_k", k % F.col("_share")).withColumn("_cell", F.floor(F.col("_k") / CELL))
-    out = out.join(places, (F.col("_n") == F.col("_c_source")) & (F.col("_phase") == F.col("_c_phase")) & (F.col("_cell") == F.col("_c_cell")))
-    out = out.withColumn("_slot", F.col("_first") + F.col("_turn") * F.col("_period") + F.col("_base") + F.element_at("_at", (F.col("_k") % CELL + 1).cast("int")))
-    out = out.select(*clash.values(), "_phase", "_block", "_slot", "_rank")
-    final = ordered(scratch, out, "_slot", "_rank", d)
-    parts = final.groupBy("_part").count().orderBy("_part").collect()
-    n, starts = 0, []
-    for part, count in parts:
-        starts.append((part, n))
-        n += count
-    start = spark.createDataFrame(starts, "_part int, _start long")
-    final = final.join(F.broadcast(start), "_part").withColumn("_position", F.col("_start") + F.col("_idx"))
-    return final.select(*(F.col(n).alias(c) for c, n in clash.items()), "_phase", "_block", "_slot", "_position")
+    ranked = ranked.select(s, d, *(["_row"] if apart else []), "_n", (F.col("_idx") + F.col("_shift")).alias("_rank"))
+    ranked = ranked.withColumn("_block", F.floor(F.col("_rank") / block_rows)).withColumn("_cell", F.floor(F.col("_block") / CELL))
+    out = ranked.join(places, ["_n", "_cell"])
+    k = (F.col("_block") % CELL + 1).cast("int")
+    added = [F.element_at("_phases", k).alias("_phase"), F.col("_block"), (F.col("_base") + F.element_at("_at", k)).alias("_slot"), (F.col("_from") + F.element_at("_places", k) + F.col("_rank") % block_rows).alias("_position")]
+    if apart:
+        out = inner.join(out.select("_row", *added), "_row")
+        added = ADDED
+    return out.select(*(F.col(n).alias(c) for c, n in clash.items()), *added)
 
 
 def op5_pfair_mixing(spark, sf_dir: str) -> DataFrame:

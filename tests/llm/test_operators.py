@@ -6,6 +6,7 @@ import re
 import struct
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import numpy as np
@@ -418,6 +419,86 @@ def test_prefixes_stay_within_one_block_of_the_unrounded_weights(spark, weights,
     assert out.count() == len(made) and out.select("_position").distinct().count() == len(made)
 
 
+def simulated(rows, weights, block_rows, slots):
+    """A plain scheduler: Fractions, every source looked at in every slot."""
+    from fractions import Fraction
+
+    left = {s: -(-n // block_rows) for s, n in rows.items()}
+    weight = {s: Fraction(weights[s]) for s in rows}
+    fluid, ran, out, shares = dict.fromkeys(rows, Fraction(0)), dict.fromkeys(rows, 0), [], []
+    for _ in range(slots):
+        # The fluid's next slot, over the ends of sources within it.
+        time = Fraction(1)
+        while time and (live := [s for s in rows if fluid[s] < left[s]]):
+            total = sum(weight[s] for s in live)
+            step = min([time, *((left[s] - fluid[s]) * total / weight[s] for s in live)])
+            for s in live:
+                fluid[s] += step * weight[s] / total
+            time -= step
+        shares.append(dict(fluid))
+    for t in range(slots):
+        before = shares[t - 1] if t else dict.fromkeys(rows, 0)
+        # Released within this slot: the fluid has begun on the block before the slot ends.
+        ready = [s for s in rows if ran[s] < left[s] and ran[s] < shares[t][s]]
+        deadline = lambda s: next((u for u in range(t, slots) if shares[u][s] >= ran[s] + 1), slots)
+        s = min(ready, key=lambda s: (deadline(s), list(rows).index(s)))
+        out.append(s)
+        ran[s] += 1
+        assert all(abs(ran[x] - shares[t][x]) < 1 for x in rows)
+    return out
+
+
+@pytest.mark.parametrize("rows, weights", [({"a": 40, "b": 30, "c": 9}, {"a": 1, "b": 2, "c": 0.5}), ({"a": 33, "b": 1, "c": 12, "d": 12}, {"a": 1 / 3, "b": 7, "c": 1 / 7, "d": 0.1})])
+def test_schedule_against_a_plain_scheduler(rows, weights):
+    got = {}
+    mixing.schedule(rows, weights, 1, lambda s, cell, slots, places, phases: got.update({(cell, at): s for at in slots}))
+    order = [s for (_, at), s in sorted(got.items(), key=lambda x: x[0][1])]
+    assert order == simulated(rows, weights, 1, sum(rows.values()))
+
+
+def fluid_deviation(rows, weights, block_rows):
+    """The schedule's slots by source, and the largest distance from the fluid at any slot."""
+    slots = {s: [] for s in rows}
+    mixing.schedule(rows, weights, block_rows, lambda s, cell, at, places, phases: slots[s].extend(at))
+    n = {s: -(-r // block_rows) for s, r in rows.items()}
+    ends = sorted((n[s] / weights[s], s) for s in rows)
+    clock, served, total, blocks = [0.0], [0.0], sum(weights.values()), 0
+    for v, s in ends:
+        served.append(served[-1] + total * (v - clock[-1]))
+        clock.append(v)
+        total -= weights[s]
+    worst = 0.0
+    for s, at in slots.items():
+        at = np.array(at)
+        assert len(at) == n[s] and (np.diff(at) > 0).all()
+        share = lambda t: np.minimum(np.interp(t, served, clock) * weights[s], n[s])
+        k = np.arange(len(at))
+        worst = max(worst, (share(at) - k).max(), (k + 1 - share(at + 1)).max())
+    return sorted(x for at in slots.values() for x in at), worst
+
+
+def test_a_million_slots_stay_within_one_block_of_exact_weights():
+    taken, worst = fluid_deviation({"a": 500_000, "b": 400_000, "c": 100_000, "d": 37}, {"a": 1 / 3, "b": 2 / 3, "c": 0.0001, "d": 0.01}, 1)
+    assert taken == list(range(1_000_037)) and worst < 1 + 1e-6
+
+
+def test_ten_thousand_sources_take_bounded_time():
+    rows = {f"s{k}": 1 + (k * 7919) % 997 for k in range(10_000)}
+    at = time.monotonic()
+    taken, worst = fluid_deviation(rows, {s: n**0.5 for s, n in rows.items()}, 16)
+    assert time.monotonic() - at < 60
+    assert taken == list(range(sum(-(-n // 16) for n in rows.values()))) and worst < 1 + 1e-6
+
+
+def test_mixture_keeps_other_columns_and_gapless_positions(spark):
+    made = [(i % 50, f"s{i % 7 if i % 3 else 0}", f"t{i}") for i in range(2000)]
+    out = mixing.mix_sources(spark.createDataFrame(made, "doc_id long, source string, text string"), block_rows=5).collect()
+    assert sorted((r["doc_id"], r["source"], r["text"]) for r in out) == sorted(made)
+    assert sorted(r["_position"] for r in out) == list(range(2000))
+    by = sorted(out, key=lambda r: r["_position"])
+    assert [r["_slot"] for r in by] == sorted(r["_slot"] for r in out)
+
+
 def test_mixture_of_odd_rows(docs, none, rows):
     out = mixing.mix_sources(docs)
     assert sorted(r["_position"] for r in out.collect()) == list(range(len(rows)))
