@@ -1,8 +1,15 @@
 """Near-duplicate vectors by int8 tile products with rigorous error bounds.
 
 Vectors of one label are compared with each other.  Vectors with the same bytes form a class
-with a count.  A class's unit vector u is stored as s * q + e with int8 q; tiles of at most
-``BLOCK`` by ``BLOCK`` classes multiply the int8 parts exactly, and
+with a count.  Classes lie in order of label, nearest pivot and distance to it, in blocks of
+at most ``BLOCK`` classes and ``BLOCK_BYTES`` bytes.  The pivots are ``PIVOTS`` vectors with the
+smallest hashes; any pivots give right results.  Each block knows its least and greatest
+distance to every pivot, and as distances on the sphere obey the triangle inequality, two
+blocks whose ranges for some pivot lie further apart than linked vectors can, hold no link:
+such tiles are not dealt.  How many that spares depends on the data; vectors spread evenly
+spare none, and then the work grows with the square of a label's classes.
+
+A class's unit vector u is stored as s * q + e with int8 q; tiles multiply the int8 parts, and
 
     |u . v - su sv qu . qv|  <=  |su qu| |ev| + |eu| |sv qv| + |eu| |ev|
 
@@ -24,13 +31,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components, frugal, ordered
 
-BLOCK = 4096
+BLOCK, BLOCK_BYTES = 4096, 32 << 20
+PIVOTS = 64
 _STRIPE = 512
+#: Bytes of vectors gathered at a time for products in full precision.
+_GATHER_BYTES = 16 << 20
 #: Slack for rounding in the unit vectors and in the bound itself.
 _SLACK = 1e-9
 
@@ -52,14 +62,76 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(unit vectors, int8 parts, scales, norms of the int8 parts, norms of the errors)."""
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    u = _units(x)
     s = np.abs(u).max(axis=1) / 127
     q = np.rint(u / s[:, None]).astype(np.int8)
     back = q * s[:, None]
     return u, q, s, np.linalg.norm(back, axis=1), np.linalg.norm(u - back, axis=1)
 
 
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of unit vectors to the pivots."""
+    return np.sqrt(np.maximum(2 - 2 * (x @ pivots.T), 0))
+
+
+def _nearest(pivots: dict[int, np.ndarray]):
+    """(label, bytes, node, count) -> the same, the nearest pivot of that length, and its distance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near, far = np.full(batch.num_rows, -1, np.int32), np.zeros(batch.num_rows)
+            data = batch.column(1).to_pylist()
+            lengths = np.array([len(d) for d in data])
+            for length in np.unique(lengths):
+                if int(length) in pivots:
+                    at = np.flatnonzero(lengths == length)
+                    d = _distances(_units(np.frombuffer(b"".join(data[i] for i in at), np.float64).reshape(len(at), -1)), pivots[int(length)])
+                    near[at], far[at] = d.argmin(axis=1), d.min(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near), pa.array(far)], names=["label", "bytes", "node", "count", "near", "far"])
+
+    return run
+
+
+def _ranges(pivots: dict[int, np.ndarray]):
+    """(label, block, bytes) -> per label, block and length the least and greatest distance to
+    each pivot of that length, as found in one slice of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = batch.column(2).to_pylist()
+            groups: dict[tuple, list[int]] = {}
+            for i, (label, block, d) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), data)):
+                groups.setdefault((label, block, len(d)), []).append(i)
+            low, high = [], []
+            for (_, _, length), at in groups.items():
+                if length in pivots:
+                    d = _distances(_units(np.frombuffer(b"".join(data[i] for i in at), np.float64).reshape(len(at), -1)), pivots[length])
+                    low.append(d.min(axis=0).tolist())
+                    high.append(d.max(axis=0).tolist())
+                else:
+                    low.append([])
+                    high.append([])
+            kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+            cols = [[k[0] for k in groups], [k[1] for k in groups], [k[2] for k in groups], low, high]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["label", "block", "length", "low", "high"])
+
+    return run
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _chained(pivots: np.ndarray) -> np.ndarray:
+    """The pivots, each followed by the nearest of those left, so that a block that spans two
+    cells holds neighbours."""
+    order, left = [0], list(range(1, len(pivots)))
+    while left:
+        order.append(left.pop(int(np.argmax(pivots[left] @ pivots[order[-1]]))))
+    return pivots[order]
+
+
 def _tile(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         node = table.column("node").to_numpy()
@@ -71,14 +143,18 @@ def _tile(threshold: float):
         cls = table.column("cls").to_numpy()[order]
         across = side.max() > side.min()
         linked = np.zeros(len(node), np.int64)
-        up = list(range(len(node)))
+        joined = np.arange(len(node))
         edges: list[tuple[int, int]] = []
 
-        def root(i: int) -> int:
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
+        def join(a: np.ndarray, b: np.ndarray) -> None:
+            """Joins the links (a, b), in order of a: one step a class and merge, not one a link."""
+            cut = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+            for lo, hi in zip(cut, np.r_[cut[1:], len(a)]):
+                m = a[lo]
+                for label, k in zip(*np.unique(joined[b[lo:hi]], return_index=True)):
+                    if label != joined[m]:
+                        edges.append((int(node[m]), int(node[b[lo + k]])))
+                        joined[joined == label] = joined[m]
 
         lengths = np.array([len(d) for d in data])
         for length in np.unique(lengths):
@@ -98,17 +174,14 @@ def _tile(threshold: float):
                 i, j = rows[i], cols[j]
                 if not across:
                     i, j = i[i < j], j[i < j]
-                for c in range(0, len(i), 1 << 16):
-                    a, b = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
+                step = max(1, _GATHER_BYTES // u[0].nbytes)
+                for c in range(0, len(i), step):
+                    a, b = i[c : c + step], j[c : c + step]
                     hit = np.einsum("ij,ij->i", u[a], u[b]) >= threshold
-                    a, b = at[a[hit]], at[b[hit]]
-                    np.add.at(linked, a, count[b])
-                    np.add.at(linked, b, count[a])
-                    for m, n in zip(a.tolist(), b.tolist()):
-                        m, n = root(m), root(n)
-                        if m != n:
-                            up[max(m, n)] = min(m, n)
-                            edges.append((int(node[m]), int(node[n])))
+                    if hit.any():
+                        a, b = at[a[hit]], at[b[hit]]
+                        linked += np.bincount(a, count[b], len(node)).astype(np.int64) + np.bincount(b, count[a], len(node)).astype(np.int64)
+                        join(a, b)
         some = np.flatnonzero(linked)
         return pa.table({
             "cls": pa.array([*cls[some].tolist(), *[None] * len(edges)], pa.int64()),
@@ -120,6 +193,15 @@ def _tile(threshold: float):
     return run
 
 
+def _apart(threshold: float) -> Column:
+    """Whether no vector of a block can be linked with one of the other: vectors of one length
+    each, and of different lengths or further apart than links reach for some pivot."""
+    reach = (2 - 2 * threshold) ** 0.5 + 1e-6 if threshold < 1 else 1e-6
+    gap = F.zip_with("ranges", "o_ranges", lambda a, b: F.greatest(a["low"] - b["high"], b["low"] - a["high"]))
+    alike = (F.col("length") == F.col("longest")) & (F.col("o_length") == F.col("o_longest"))
+    return alike & ((F.col("length") != F.col("o_length")) | F.coalesce(F.exists(gap, lambda g: g > reach), F.lit(False)))
+
+
 def near_duplicate_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = 0.98) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept."""
     scratch = Scratch(df.sparkSession, "vectors")
@@ -128,16 +210,28 @@ def near_duplicate_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str
     packed = scratch.table(rows.mapInArrow(frugal(_packed), f"vec_id long, label {kind}, bytes binary"), "packed")
     usable = packed.where("vec_id IS NOT NULL AND label IS NOT NULL AND bytes IS NOT NULL")
     classes = usable.groupBy("label", "bytes").agg(F.min("vec_id").alias("node"), F.count("*").alias("count"))
-    placed = ordered(scratch, classes, "label", "bytes")
+    classes = scratch.table(classes.select("label", "bytes", "node", "count"), "classes")
+    chosen = classes.select("bytes").distinct().orderBy(F.xxhash64("bytes"), "bytes").limit(PIVOTS).collect()
+    lengths = sorted({len(r["bytes"]) for r in chosen})
+    pivots = {n: _chained(_units(np.stack([np.frombuffer(r["bytes"], np.float64) for r in chosen if len(r["bytes"]) == n]))) for n in lengths}
+    classes = classes.mapInArrow(frugal(_nearest(pivots)), f"label {kind}, bytes binary, node long, count long, near int, far double")
+    placed = ordered(scratch, classes, "label", "near", "far", "bytes")
     # Rank within the label over all parts; one row per label and part stands between.
-    held = placed.groupBy("label", "_part").agg(F.count("*").alias("n"), F.min("_idx").alias("low"))
+    held = placed.groupBy("label", "_part").agg(F.count("*").alias("n"), F.min("_idx").alias("low"), F.max(F.octet_length("bytes")).alias("widest"))
     before = Window.partitionBy("label").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = held.select("label", "_part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("low")).alias("shift"))
+    fit = F.floor(F.lit(BLOCK_BYTES) / F.max("widest").over(Window.partitionBy("label")))
+    shift = held.select("label", "_part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("low")).alias("shift"), F.greatest(F.lit(1), F.least(F.lit(BLOCK), fit)).alias("rows"))
     placed = placed.join(shift, ["label", "_part"])
-    placed = placed.select("label", "bytes", "node", "count", F.floor((F.col("_idx") + F.col("shift")) / BLOCK).alias("block"), (F.col("_part").cast("long") * (1 << 36) + F.col("_idx")).alias("cls"))
+    placed = placed.select("label", "bytes", "node", "count", F.floor((F.col("_idx") + F.col("shift")) / F.col("rows")).alias("block"), (F.col("_part").cast("long") * (1 << 36) + F.col("_idx")).alias("cls"))
     placed = scratch.table(placed, "placed")
-    blocks = placed.select("label", "block").distinct()
-    tiles = blocks.withColumnRenamed("block", "i").join(blocks.withColumnRenamed("block", "j"), "label").where("i <= j")
+    ranges = placed.select("label", "block", "bytes").mapInArrow(frugal(_ranges(pivots)), f"label {kind}, block long, length long, low array<double>, high array<double>")
+    ranges = ranges.select("label", "block", "length", F.posexplode_outer(F.arrays_zip("low", "high")).alias("pivot", "d"))
+    ranges = ranges.groupBy("label", "block", "pivot").agg(F.min("length").alias("length"), F.max("length").alias("longest"), F.min("d.low").alias("low"), F.max("d.high").alias("high"))
+    ranges = ranges.groupBy("label", "block").agg(F.min("length").alias("length"), F.max("longest").alias("longest"), F.array_sort(F.collect_list(F.struct("pivot", "low", "high"))).alias("ranges"))
+    ranges = scratch.table(ranges, "ranges")
+    other = ranges.select("label", *(F.col(c).alias(f"o_{c}") for c in ("block", "length", "longest", "ranges")))
+    tiles = ranges.join(other, "label").where("block <= o_block").where(~_apart(threshold))
+    tiles = scratch.table(tiles.select("label", F.col("block").alias("i"), F.col("o_block").alias("j")), "tiles")
     left = tiles.select("label", "i", "j", F.lit(0).alias("side"), F.col("i").alias("block"))
     right = tiles.where("i <> j").select("label", "i", "j", F.lit(1).alias("side"), F.col("j").alias("block"))
     dealt = left.unionByName(right).join(placed, ["label", "block"]).select("label", "i", "j", "side", "node", "count", "cls", "bytes")

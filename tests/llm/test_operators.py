@@ -606,6 +606,44 @@ def test_vectors_against_all_pairs(spark, monkeypatch):
     assert embeddings.near_duplicate_vectors(df.where("false")).count() == 0
 
 
+def test_blocks_that_lie_apart_are_not_dealt(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 8)
+    seen, table = {}, common.Scratch.table
+
+    def counted(self, df, name):
+        out = table(self, df, name)
+        seen[name] = out.count() if name == "tiles" else 0
+        return out
+
+    monkeypatch.setattr(common.Scratch, "table", counted)
+    rng = np.random.default_rng(5)
+    made, x = [], []
+    for c in range(30):
+        centre = rng.normal(size=16)
+        for _ in range(32):
+            x.append((centre + rng.normal(size=16) * 0.1).astype(np.float32))
+            made.append((len(made), x[-1].tolist(), 0))
+    x = np.array(x, np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = (x @ x.T >= 0.98).sum(axis=1) - 1
+    got = embeddings.near_duplicate_vectors(spark.createDataFrame(made, "vec_id long, embedding array<float>, label int")).collect()
+    assert {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate(links.tolist())) and links.sum() > 1000
+    assert seen["tiles"] < 121 * 120 / 2 / 3
+
+
+def test_blocks_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK_BYTES", 400)
+    made = [(k, [1.0, k * 0.01], None if k == 7 else 1) for k in range(60)] + [(60, [1.0, 0.0, 0.0], 1), (61, [2.0, 0.0, 0.0], 1)]
+    got = {r["vec_id"]: r for r in embeddings.near_duplicate_vectors(spark.createDataFrame(made, "vec_id long, embedding array<double>, label int")).collect()}
+    x = np.array([m[1] for m in made[:60]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    link = x @ x.T >= 0.98
+    link[7] = link[:, 7] = False
+    want = link.sum(axis=1) - 1
+    assert all(got[k]["n_links"] == (want[k] if k != 7 else 0) for k in range(60))
+    assert got[60]["n_links"] == got[61]["n_links"] == 1
+
+
 def test_quantisation_bound_holds():
     rng = np.random.default_rng(0)
     u, q, s, big, err = embeddings.quantised(rng.normal(size=(200, 64)) * rng.uniform(0.01, 100, size=(200, 1)))
