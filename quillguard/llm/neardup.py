@@ -15,7 +15,8 @@
    A group of near copies larger than a block is thus joined over its hubs, and costs as many
    rows as it has members.
 4. Only keys whose members still lie in several blocks and several components are left: for
-   these, pairs of blocks meet in one task each, with the classes that hold such a key.
+   these, pairs of blocks meet in one task each, with the classes that hold such a key and
+   lie outside of its commonest component on one side at least.
 5. Components come from the forests by star contraction in Spark.
 
 Defined results: null text, empty text or text without words has an empty set and is linked
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components, frugal, least_of_group, ordered
@@ -91,22 +92,50 @@ def _sets(width: int):
     return run
 
 
-def _blocks(classes: int, most_shingles: int):
-    """(node, n, part, idx, label) in order -> a block number that counts up within the part."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = rows = shingles = 0
-        for batch in batches:
-            out = []
-            for n in batch.column("n").to_pylist():
-                if rows and (rows >= classes or shingles + n > most_shingles):
-                    block, rows, shingles = block + 1, 0, 0
-                rows, shingles = rows + 1, shingles + n
-                out.append(block)
-            part = np.asarray(batch.column("part").to_numpy(), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array((part << 32) + np.array(out, np.int64)), batch.column("label")], names=["node", "block", "label"])
-
-    return run
+def _blocks(placed: DataFrame, classes: int, shingles: int) -> DataFrame:
+    """(node, n, label) with ``_part`` and ``_idx`` -> node, block, label: in order, blocks of
+    at most ``classes`` rows and little over ``shingles`` shingles, whatever the parts are."""
+    rows = total = 0
+    starts = []
+    for part, n, held in placed.groupBy("_part").agg(F.count("*"), F.sum("n")).orderBy("_part").collect():  # one row per part
+        starts.append((part, rows, total))
+        rows, total = rows + n, total + held
+    at = placed.sparkSession.createDataFrame(starts, "_part int, _rows long, _held long")
+    before = F.sum("n").over(Window.partitionBy("_part").orderBy("_idx")) - F.col("n")
+    found = placed.withColumn("_before", before).join(F.broadcast(at), "_part")
+    block = F.floor((F.col("_rows") + F.col("_idx")) / classes) + F.floor((F.col("_held") + F.col("_before")) / shingles)
+    return found.select("node", block.alias("block"), "label")
+
+
+def _unsettled(scratch: Scratch, members: DataFrame, blocks: DataFrame, joined: DataFrame) -> DataFrame | None:
+    """(i, j, side, node, component): the classes that blocks i and j must still compare; None
+    if there are none.
+
+    A key is unsettled if its members lie in several blocks and components.  Its commonest
+    component needs no look at itself, so all members go to the blocks of those outside of
+    it, and these to the blocks of all members.  Keys with the same blocks are one kind, so a
+    class with many keys of a group goes to a block once."""
+    at = members.select("key", "node").join(blocks.select("node", "block"), "node").join(joined, "node", "left")
+    at = at.select("key", "node", "block", F.coalesce("component", "node").alias("component"))
+    within = scratch.table(at.groupBy("key", "block", "component").agg(F.count("*").alias("n")), "within")
+    whole = within.groupBy("key", "component").agg(F.sum("n").alias("n"))
+    whole = whole.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("components")).where("components > 1")
+    spread = within.groupBy("key").agg(F.min("block").alias("low"), F.max("block").alias("high")).where("low < high")
+    keys = scratch.table(whole.join(spread, "key").select("key", F.col("top.component").alias("main")), "keys")
+    if keys.isEmpty():
+        return None
+    within = within.join(keys, "key").select("key", "block", (F.col("component") != F.col("main")).alias("minor"))
+    kind = lambda of: F.struct(F.bit_xor(F.xxhash64(of)), F.bit_xor(F.xxhash64(of, F.lit(1))))
+    out = []
+    # Members to the blocks of minor ones; minor ones to all blocks.
+    for others, who in ((within.where("minor"), F.lit(True)), (within, F.col("component") != F.col("main"))):
+        others = others.select("key", F.col("block").alias("other")).distinct()
+        kinds = scratch.table(others.groupBy("key").agg(kind("other").alias("kind")), "kinds")
+        held = others.join(kinds, "key").select("kind", "other").distinct()
+        sent = at.join(keys, "key").where(who).join(kinds, "key").select("kind", "node", "block", "component").distinct()
+        out.append(sent.join(held, "kind").where("block <> other").select("node", "block", "component", "other"))
+    both = out[0].unionByName(out[1]).distinct()
+    return both.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "component")
 
 
 def _compare(num: int, den: int):
@@ -188,9 +217,7 @@ def _components(scratch: Scratch, docs: DataFrame, sketched: DataFrame, width: i
     # The label: the hub of the commonest key, the smallest of several.
     label = hubs.groupBy("node").agg(F.min(F.struct((-F.col("c")).alias("c"), "hub")).alias("best")).select(F.col("best.hub").alias("label"), "node")
     placed = ordered(scratch, label.join(firsts, "node").select("label", "node", "n"), "label", "node")
-    laid = placed.select("node", "n", F.col("_part").alias("part"), F.col("_idx").alias("idx"), "label")
-    laid = laid.repartition("part").sortWithinPartitions("part", "idx")
-    blocks = written(laid.mapInArrow(frugal(_blocks(block_classes, block_shingles)), "node long, block long, label long"), "blocks")
+    blocks = written(_blocks(placed, block_classes, block_shingles), "blocks")
 
     full = docs.join(blocks.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     full = full.mapInArrow(frugal(_sets(width)), "doc_id long, shingles binary")
@@ -207,21 +234,11 @@ def _components(scratch: Scratch, docs: DataFrame, sketched: DataFrame, width: i
     joined = written(connected_components(scratch, first), "joined")
     scratch.drop("hubs", "links")
 
-    # Keys whose members lie in several blocks and components are not settled.  A class goes
-    # to the task of its block and another one if that holds such a key in another component.
-    at = members.select("key", "node").join(blocks.select("node", "block"), "node").join(joined, "node", "left")
-    at = at.select("key", "node", "block", F.coalesce("component", "node").alias("component"))
-    within = written(at.groupBy("key", "block").agg(F.min("component").alias("low"), F.max("component").alias("high")), "within")
-    several = within.groupBy("key").agg(F.count("*").alias("blocks"), F.min("low").alias("low"), F.max("high").alias("high")).where("blocks > 1 AND low < high").select("key")
-    unsettled = written(within.join(several, "key"), "unsettled")
-    scratch.drop("within")
-    if not unsettled.isEmpty():
-        other = unsettled.select("key", F.col("block").alias("other"), "low", "high")
-        across = at.join(other, "key").where("block <> other AND NOT (low = component AND high = component)").select("node", "block", "component", "other").distinct()
-        across = across.select("node", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    across = _unsettled(scratch, members, blocks, joined)
+    if across is not None:
         second = links(across, "links")
         joined = written(connected_components(scratch, joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second)), "joined")
-    scratch.drop("sets", "members", "ordered", "unsettled")
+    scratch.drop("sets", "members", "ordered", "within")
     out = named.select("doc_id", "node").join(joined, "node", "left")
     return out.select("doc_id", F.coalesce("component", "node").alias("component"))
 
