@@ -73,10 +73,12 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        self.written = 0
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}-{len(self.paths)}"
+        path = f"{self.root}/{name}-{self.written}"
         self.paths[name] = path
+        self.written += 1
         before = self.spark.conf.get(self._CLEAN, "false")
         self.spark.conf.set(self._CLEAN, "true")
         try:
