@@ -50,7 +50,7 @@ def needs_adapter(labels: Column) -> Column:
     return (F.size(named) > 0) & ~F.exists(named, lambda v: v.startswith("B-") | v.startswith("I-"))
 
 
-_HITS = "id long, n int, offset int, word string, entity_group string, score double, start int, end int"
+_HITS = "id long, n long, offset int, word string, entity_group string, score double, start int, end int"
 
 
 def detect_with_model(df: DataFrame, load: Callable[[], Callable[[list[str]], list[list[dict]]]], key: str = "id", text: str = "text", config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -66,8 +66,8 @@ def detect_with_model(df: DataFrame, load: Callable[[], Callable[[list[str]], li
             rows = batch.to_pylist()
             out = []
             for row, hits in zip(rows, provider([r["chunk"] for r in rows])):
-                out += [{"id": row["id"], "n": row["n"] * 100_000 + k, "offset": row["offset"], **h} for k, h in enumerate(hits)]
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("id", pa.int64()), ("n", pa.int32()), ("offset", pa.int32()), ("word", pa.string()), ("entity_group", pa.string()), ("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
+                out += [{"id": row["id"], "n": (row["n"] << 32) + k, "offset": row["offset"], **h} for k, h in enumerate(hits)]
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("id", pa.int64()), ("n", pa.int64()), ("offset", pa.int32()), ("word", pa.string()), ("entity_group", pa.string()), ("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
 
     hits = parts.select("id", "n", "c.chunk", "c.offset").mapInArrow(run, _HITS)
     hits = hits.withColumn("start", F.col("start") + F.col("offset")).withColumn("end", F.col("end") + F.col("offset"))

@@ -268,7 +268,7 @@ def conversation_token_numbering(spark, sf_dir):
     from pyspark.sql import Window
 
     found = redact.detect_entities(samples(spark, sf_dir)).select("id", F.explode_outer("entities").alias("e")).where("e IS NOT NULL")
-    first = found.groupBy((F.col("id") % 50).alias("conv"), F.col("e.entity_type").alias("entity_type"), F.col("e.text").alias("original")).agg(F.min(F.col("id") * 10000 + F.col("e.start")).alias("at"))
+    first = found.groupBy((F.col("id") % 50).alias("conv"), F.col("e.entity_type").alias("entity_type"), F.col("e.text").alias("original")).agg(F.min(F.struct("id", "e.start")).alias("at"))
     n = F.row_number().over(Window.partitionBy("conv", "entity_type").orderBy("at"))
     return first.select("conv", "entity_type", "original", F.concat(F.lit("["), "entity_type", F.lit("_"), n.cast("string"), F.lit("]")).alias("token"))
 

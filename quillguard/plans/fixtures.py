@@ -34,8 +34,8 @@ TEMPLATES = [
     f"'Reach me at (' || {_P3} || ') ' || {_P3} || '-' || {_P4} || ' or ' || {_MAIL} || '.'",
     f"'Office line +44 20 ' || {_P4} || ' ' || {_P4} || ', desk +1-' || {_P3} || '-' || {_P3} || '-' || {_P4}",
     f"'Chart MRN-' || {_MRN} || ' replaces mrn-' || {_MRN} || '.'",
-    f"'She was born ' || {_MONTH} || '/' || {_DAY} || '/' || {_YEAR} || ' in town.'",
-    f"'Meeting scheduled for ' || {_MONTH} || '/' || {_DAY} || '/' || {_YEAR} || '.'",
+    f"'Their daughter, born ' || {_MONTH} || '/' || {_DAY} || '/' || {_YEAR} || ', swims.'",
+    f"'The deadline passed on ' || {_MONTH} || '/' || {_DAY} || '/' || {_YEAR} || '.'",
     f"'Visa card ' || {_CARD} || ' was charged.'",
     f"'Her credit card ' || {_CARD16} || ' passed.'",
     f"'Tracking id ' || {_CARD16} || ' left the dock.'",
@@ -44,7 +44,7 @@ TEMPLATES = [
     f"'Passport ' || {_PASS} || ' expires soon.'",
     f"'Tax id ' || {_PLAIN} || ', again SSN ' || {_DASHED} || ', mail ' || {_MAIL} || ', mail ' || {_MAIL}",
     "'Nothing private in std::string here.'",
-    f"'Date of birth: ' || {_YEAR} || '-' || {_MONTH} || '-' || {_DAY} || '; age unknown.'",
+    f"'Form field date of birth ' || {_YEAR} || '-' || {_MONTH} || '-' || {_DAY} || '; age unknown.'",
     f"'A bare ' || {_PLAIN} || ' and a lone :: sign'",
 ]
 SAMPLES = f"SELECT {_K} AS id, CASE {_K} % {len(TEMPLATES)} " + " ".join(f"WHEN {n} THEN {t}" for n, t in enumerate(TEMPLATES)) + " END AS text FROM customer"

@@ -9,6 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir``; a temporary folder only if that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillguard-")
+    """A fresh path under ``spark.checkpoint.dir``; a temporary folder only if that is unset and
+    the master is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="quillguard-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -62,13 +62,19 @@ def _unmask(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
         for token, original in dict(mapping or {}).items():
             text = text.replace(token, original)
         out.append((key[0], seq, text))
-    state.update((carry,))
+    if rows["done"].any() and not carry:
+        if state.exists:
+            state.remove()
+    else:
+        state.update((carry,))
     yield pd.DataFrame(out, columns=["stream_id", "seq", "text"])
 
 
 def unmask(deltas: DataFrame, vault: DataFrame) -> DataFrame:
     """Deltas (stream_id, seq, delta, done) with tokens replaced by their originals from
-    ``vault`` (stream_id, mapping), a token split over deltas included."""
+    ``vault`` (stream_id, mapping), a token split over deltas included.  A stream's state goes
+    with its ``done`` event; there is no timeout, as one in processing time keeps a run over
+    all that is there from ending."""
     joined = deltas.join(vault, "stream_id", "left")
     return joined.groupBy("stream_id").applyInPandasWithState(_unmask, "stream_id long, seq int, text string", "carry string", "append", GroupStateTimeout.NoTimeout)
 
