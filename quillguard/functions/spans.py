@@ -1,8 +1,8 @@
 """Detectors: a text column to an array of spans with code point offsets, JVM-side.
 
 Neither ``regexp_extract_all`` nor ``split`` gives offsets, but the lengths of the pieces
-between matches do: one fold over (piece, match) pairs carries the running offset.  Each of
-the two is evaluated once per text.
+between matches do: their running sum is where each match begins.  Each of the two is evaluated
+once per text.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..config import DetectorConfig
 from ..schemas import SPANS, span
 from . import patterns as P
+from .arrays import let, running_sum
 from .context import context_score
 
 _FOUND = "array<struct<start:int,end:int,text:string>>"
@@ -36,16 +37,14 @@ _HINTS = {
 def find_all(text: Column, pattern: str) -> Column:
     """All leftmost matches of a pattern that cannot match the empty string."""
     pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("out"))
 
-    def step(acc: Column, z: Column) -> Column:
-        at = acc["at"] + F.length(z["g"])
-        end = at + F.length(z["m"])
-        found = F.struct(at.alias("start"), end.alias("end"), z["m"].alias("text"))
+    def placed(pairs: Column) -> Column:
         # The last piece has no match after it.
-        return F.when(z["m"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.array_append(acc["out"], found).alias("out")))
+        before = running_sum(F.transform(pairs, lambda z: F.length(z["g"]) + F.coalesce(F.length(z["m"]), F.lit(0))))
+        found = F.zip_with(pairs, before, lambda z, at: F.struct((at + F.length(z["g"])).alias("start"), (at + F.length(z["g"]) + F.length(z["m"])).alias("end"), z["m"].alias("text")))
+        return F.filter(found, lambda m: m["text"].isNotNull())
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    return let(pairs, placed)
 
 
 def valid_ssn(area: Column, group: Column, serial: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.arrays import running_sum
 from ..functions.spans import find_all
 from .ner import mapped
 
@@ -15,14 +16,12 @@ MODEL_TYPES = ("PER", "ORG", "LOC", "MISC")
 HYBRID_TYPES = (*MODEL_TYPES, "SSN", "PHONE", "EMAIL", "MRN", "DOB", "CREDIT_CARD", "IPV4", "IPV6", "PASSPORT")
 BIO_TYPE = {"PERSON": "PER", "LOCATION": "LOC", "ORGANIZATION": "ORG"}
 
-_OFFSETS = "array<struct<start:int,end:int>>"
 
 
 def word_offsets(tokens: Column) -> Column:
     """[start, end) of each token in the tokens joined by one space."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_OFFSETS).alias("out"))
-    step = lambda acc, t: F.struct((acc["at"] + F.length(t) + 1).alias("at"), F.array_append(acc["out"], F.struct(acc["at"].alias("start"), (acc["at"] + F.length(t)).alias("end"))).alias("out"))
-    return F.aggregate(tokens, start, step, lambda acc: acc["out"])
+    before = running_sum(F.transform(tokens, lambda t: F.length(t) + 1))
+    return F.zip_with(tokens, before, lambda t, at: F.struct(at.alias("start"), (at + F.length(t)).alias("end")))
 
 
 def align(tokens: Column, entities: Column) -> Column:

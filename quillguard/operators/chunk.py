@@ -10,16 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let, pieces, running_sum
+
 CHUNKS = "array<struct<chunk:string,offset:int>>"
 _RANGES = "array<struct<s:int,e:int>>"
 
 
 def boundaries(text: Column) -> Column:
     """Ends of sentences as offsets, the text's length last."""
-    pieces = F.filter(F.split(text, r"(?<=[.;\n])", -1), lambda p: p != "")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    step = lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.array_append(acc["out"], acc["at"] + F.length(p)).alias("out"))
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    sentences = F.filter(F.split(text, r"(?<=[.;\n])", -1), lambda p: p != "")
+    return let(F.transform(sentences, lambda p: F.length(p)), lambda n: F.zip_with(running_sum(n), n, lambda at, k: at + k))
 
 
 def _ranges(bounds: Column, size: int) -> Column:
@@ -48,6 +48,7 @@ def _ranges(bounds: Column, size: int) -> Column:
 
 def chunks(text: Column, size: int = 1500) -> Column:
     """Array of (chunk, offset)."""
-    made = F.transform(_ranges(boundaries(text), size), lambda r: F.struct(F.substring(text, r["s"] + 1, r["e"] - r["s"]).alias("chunk"), r["s"].alias("offset")))
+    ranges = F.transform(_ranges(boundaries(text), size), lambda r: F.struct(r["s"].alias("start"), r["e"].alias("end")))
+    made = pieces(text, ranges, lambda r, part: F.struct(part.alias("chunk"), r["start"].alias("offset")))
     whole = F.array(F.struct(text.alias("chunk"), F.lit(0).alias("offset")))
     return F.when(F.length(text) <= size, whole).otherwise(made).cast(CHUNKS)

@@ -1,7 +1,8 @@
 """Overlap rules and the merge of spans into a disjoint, ordered array.
 
 Candidates come by ascending start, longer first, and accepted spans are disjoint, so a
-candidate can only meet the one accepted last: the merge is one fold per document.
+candidate can only meet the one accepted last.  Where a candidate begins at or after the ends of
+all before it a new cluster begins, and each cluster is merged by a fold of its own.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let, running_max
 from ..functions.patterns import STRUCTURED
 from ..schemas import SPANS
 
@@ -42,7 +44,13 @@ def merge(model: Column, regex: Column) -> Column:
             candidate_wins(last, c), F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), c)
         ).otherwise(acc)
 
-    return F.aggregate(F.array_sort(keyed), F.array().cast(SPANS), step)
+    def clusters(z: Column) -> Column:
+        before = running_max(F.transform(z, lambda c: c["s"]["end"]))
+        opens = F.filter(F.zip_with(F.transform(z, lambda c, i: F.struct(i.alias("i"), c["a"].alias("a"))), before, lambda c, end: F.when(c["a"] >= end, c["i"])), lambda i: i.isNotNull())
+        cut = lambda of: F.transform(of, lambda i, k: F.slice(z, i + 1, F.coalesce(F.get(of, k + 1), F.size(z)) - i))
+        return F.flatten(F.transform(let(opens, cut), lambda part: F.aggregate(part, F.array().cast(SPANS), step)))
+
+    return let(F.array_sort(keyed), clusters)
 
 
 def merge_if_found(model: Column, regex: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..functions.arrays import let, pieces
 from ..functions.spans import detect_all
 from ..schemas import SPANS
 from .merge import merge_if_found
@@ -24,21 +25,35 @@ def without_disabled(entities: Column, disabled: Column | list[str] | None) -> C
 
 def numbered(entities: Column) -> Column:
     """Tokens [TYPE_N]; within a type N counts from the end of the text."""
-    def token(e: Column) -> Column:
-        n = F.size(F.filter(entities, lambda x: (x["entity_type"] == e["entity_type"]) & (x["start"] >= e["start"])))
-        return e.withField("token", F.concat(F.lit("["), e["entity_type"], F.lit("_"), n.cast("string"), F.lit("]")))
+    token = lambda e, n: e.withField("token", F.concat(F.lit("["), e["entity_type"], F.lit("_"), n.cast("string"), F.lit("]")))
 
-    return F.transform(entities, token)
+    def any_order(es: Column) -> Column:
+        return F.transform(es, lambda e: token(e, F.size(F.filter(es, lambda x: (x["entity_type"] == e["entity_type"]) & (x["start"] >= e["start"])))))
+
+    def by_type(es: Column) -> Column:
+        """One pass a type; merged spans come in order of distinct starts."""
+        kinds = F.array_distinct(F.transform(es, lambda e: e["entity_type"]))
+        keyed = F.transform(es, lambda e, i: F.struct(i.alias("i"), e.alias("e")))
+        of = lambda kind: let(F.filter(keyed, lambda z: z["e"]["entity_type"] == kind), lambda zs: F.transform(zs, lambda z, k: F.struct(z["i"].alias("i"), token(z["e"], F.size(zs) - k).alias("e"))))
+        return F.transform(F.array_sort(F.flatten(F.transform(kinds, of))), lambda z: z["e"])
+
+    def chosen(es: Column) -> Column:
+        starts = F.transform(es, lambda e: e["start"])
+        ordered = let(starts, lambda s: (F.array_sort(s) == s) & (F.size(F.array_distinct(s)) == F.size(s)))
+        return F.when(ordered, by_type(es)).otherwise(any_order(es))
+
+    return let(entities, chosen)
 
 
 def masked(text: Column, entities: Column) -> Column:
     """The text with each span replaced by its token: gaps and tokens joined once."""
-    def step(acc: Column, e: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, e["start"] - acc["at"])
-        return F.struct(e["end"].alias("at"), F.concat(acc["out"], gap, e["token"]).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(entities, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    def joined(es: Column) -> Column:
+        gap = lambda e, i: F.struct(F.coalesce(F.get(es, i - 1)["end"], F.lit(0)).alias("start"), e["start"].alias("end"), e["token"].alias("token"))
+        last = F.struct(F.coalesce(F.try_element_at(es, F.lit(-1))["end"], F.lit(0)).alias("start"), F.length(text).alias("end"), F.lit("").alias("token"))
+        return F.array_join(pieces(text, F.concat(F.transform(es, gap), F.array(last)), lambda p, part: F.concat(part, p["token"])), "")
+
+    return F.when(F.size(entities) == 0, text).otherwise(let(entities, joined))
 
 
 def entries(entities: Column) -> Column:
