@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bio import decode_tags
+from ..sources.scratch import scratch_dir
+from .bio import decode_tags, keep_types
 
 
 def entity_counts(df: DataFrame, truth: str, predicted: str, key: str = "id") -> DataFrame:
@@ -47,11 +50,50 @@ def macro_scores(counts: DataFrame) -> DataFrame:
     return report(counts).where("type = 'macro avg'").select(F.col("f1").alias("macro_f1"), F.col("precision").alias("macro_precision"), F.col("recall").alias("macro_recall"))
 
 
+def percentiles(df: DataFrame, value: str, shares: tuple[float, ...]) -> list[float | None]:
+    """Exact percentiles with linear interpolation of the values that are not null.
+
+    Equal values are counted first, so a common value is one row; distinct values are dealt
+    into ranges and counted by range, and only the ranges that hold a wanted rank are scanned
+    for it.  No task sees all values; the driver sees a row per range and two a percentile."""
+    spark = df.sparkSession
+    counted = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
+    path = scratch_dir(spark, "percentiles")
+    counted.repartitionByRange("v").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    placed = spark.read.schema("v double, n long, part int").parquet(path)
+    before, starts = 0, []
+    for part, n, _ in placed.groupBy("part").agg(F.sum("n"), F.min("v").alias("low")).orderBy("low").collect():
+        starts.append((part, before, before + n))
+        before += n
+    if not before:
+        return [None] * len(shares)
+    wanted = [share * (before - 1) for share in shares]
+    ranks = sorted({r for w in wanted for r in (math.floor(w), math.ceil(w))})
+    asked = [(part, rank - low) for part, low, high in starts for rank in ranks if low <= rank < high]
+    asked_df = F.broadcast(spark.createDataFrame(asked, "part int, rank long"))
+    within = placed.where(F.col("part").isin(*{p for p, _ in asked})).withColumn("until", F.sum("n").over(Window.partitionBy("part").orderBy("v")))
+    found = within.join(asked_df, "part").where("until > rank AND until - n <= rank").select("part", "rank", "v").collect()
+    by = {(r["part"], r["rank"]): r["v"] for r in found}
+    at = {rank: by[p, rank - low] for p, low, high in starts for rank in ranks if low <= rank < high}
+    return [at[math.floor(w)] + (at[math.ceil(w)] - at[math.floor(w)]) * (w - math.floor(w)) for w in wanted]
+
+
 def latency(df: DataFrame, value: str) -> DataFrame:
     """Exact percentiles with linear interpolation, mean and maximum, two decimals."""
-    q = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    found = df.agg(q.alias("q"), F.avg(value).alias("mean"), F.max(value).alias("max"))
-    return found.select(*(F.round(F.col("q")[i], 2).alias(f"p{p}_ms") for i, p in enumerate((50, 95, 99))), F.round("mean", 2).alias("mean_ms"), F.round("max", 2).alias("max_ms"))
+    q = percentiles(df, value, (0.5, 0.95, 0.99))
+    found = df.agg(F.avg(value).alias("mean"), F.max(value).alias("max"))
+    return found.select(*(F.round(F.lit(x).cast("double"), 2).alias(f"p{p}_ms") for x, p in zip(q, (50, 95, 99))), F.round("mean", 2).alias("mean_ms"), F.round("max", 2).alias("max_ms"))
+
+
+def evaluate(df: DataFrame, truth: str, predicted: str, types: tuple[str, ...], key: str = "id") -> DataFrame:
+    """One evaluation run: predicted tags of other types than ``types`` become O, then the
+    report by type with micro, macro and weighted averages, and the number of samples.
+
+    Samples without any entity count too; a run of the model over warm-up samples belongs to
+    its provider."""
+    kept = df.select(key, truth, keep_types(F.col(predicted), types).alias(predicted))
+    samples = df.agg(F.count("*").alias("n_samples"))
+    return report(entity_counts(kept, truth, predicted, key)).join(F.broadcast(samples))  # one row
 
 
 def logit_parity(df: DataFrame, a: str, b: str) -> DataFrame:

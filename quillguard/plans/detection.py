@@ -96,7 +96,10 @@ def ssn_validity(spark, sf_dir):
 _REGEX_CAND = "SELECT id, entity_type, start, stop, span, score, 'regex' AS source, det * 1000 + i AS ord FROM ({})"
 
 
-@query("detect_all_documents", f"WITH RECURSIVE {sql.merged(_REGEX_CAND.format(sql.all_detected(DOCUMENTS)))} {_FLAT} merged")
+_DETECTED = sql.merged(_REGEX_CAND.format(sql.all_detected(DOCUMENTS)))
+
+
+@query("detect_all_documents", f"WITH RECURSIVE {_DETECTED} {_FLAT} merged")
 def detect_all_documents(spark, sf_dir):
     return _flat(_exploded(redact.detect_entities(documents(spark, sf_dir))))
 

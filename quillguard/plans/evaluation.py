@@ -10,7 +10,7 @@ from ..sources import files
 from ..sources.scratch import scratch_dir
 from ..streaming import events
 from . import fixtures, sql
-from .detection import _BOTH, _REGEX_CAND, _masked_sql, documents, fixture, query, samples
+from .detection import _BOTH, _DETECTED, _HIT, _REGEX_CAND, _masked_sql, documents, fixture, query, samples
 
 _T = "json_type(j, '{}') = 'VARCHAR'"
 _BODY = f"SELECT id, body, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS j FROM ({fixtures.BODIES})"
@@ -195,6 +195,40 @@ def ner_report(spark, sf_dir):
     return found.select("type", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")), "support")
 
 
+#: Tags of every sample: merged spans where patterns found something, else the model's spans
+#: as they came, of which the first that meets a word has it.
+_EVERY = f"""WITH RECURSIVE {_WORDS}, {_tagged_sql(_REGEX_ONLY, 'a')}, {_tagged_sql(_BOTH, 'b')},
+hit AS ({_HIT}),
+own_h AS (SELECT o.id, o.pos, min(h.ord) AS ord FROM offs o JOIN hit h ON h.id = o.id AND o.ws < h.stop AND o.we > h.start GROUP BY o.id, o.pos),
+lab_h AS (SELECT w.id, w.pos, CASE h.entity_type WHEN 'PERSON' THEN 'PER' WHEN 'LOCATION' THEN 'LOC' WHEN 'ORGANIZATION' THEN 'ORG' ELSE h.entity_type END AS t,
+  row_number() OVER (PARTITION BY w.id, w.ord ORDER BY w.pos) AS k FROM own_h w JOIN hit h ON h.id = w.id AND h.ord = w.ord),
+h AS (SELECT o.id, o.pos, CASE WHEN l.t IS NULL THEN 'O' WHEN l.k = 1 THEN 'B-' || l.t ELSE 'I-' || l.t END AS tag FROM offs o LEFT JOIN lab_h l ON l.id = o.id AND l.pos = o.pos),
+found AS (SELECT DISTINCT id FROM ({_REGEX_ONLY})),
+p AS (SELECT id, pos, CASE WHEN list_contains({sql.listed(bio.HYBRID_TYPES)}, substr(tag, 3)) THEN tag ELSE 'O' END AS tag
+  FROM (SELECT * FROM b WHERE id IN (SELECT id FROM found) UNION ALL SELECT * FROM h WHERE id NOT IN (SELECT id FROM found)))"""
+
+
+def _every_entity(tags: str, name: str) -> str:
+    return f"""f_{name} AS (SELECT *, substr(tag, 3) AS t, CASE WHEN tag = 'O' THEN 0 WHEN tag LIKE 'B-%' OR coalesce(lag(tag) OVER v, 'O') = 'O' OR substr(lag(tag) OVER v, 3) <> substr(tag, 3) THEN 1 ELSE 0 END AS opens FROM {tags} WINDOW v AS (PARTITION BY id ORDER BY pos)),
+g_{name} AS (SELECT *, sum(opens) OVER (PARTITION BY id ORDER BY pos) AS n FROM f_{name}),
+e_{name} AS (SELECT id, t, min(pos) AS a, max(pos) AS z FROM g_{name} WHERE tag <> 'O' GROUP BY id, n, t)"""
+
+
+@query(
+    "evaluation_run",
+    f"""{_EVERY}, {_every_entity('a', 'x')}, {_every_entity('p', 'y')},
+counts AS (SELECT coalesce(x.t, y.t) AS type, count_if(x.t IS NOT NULL AND y.t IS NOT NULL) AS tp, count_if(x.t IS NULL) AS fp, count_if(y.t IS NULL) AS fn FROM e_x x FULL JOIN e_y y ON x.id = y.id AND x.t = y.t AND x.a = y.a AND x.z = y.z GROUP BY 1),
+per AS (SELECT type, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS r, CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f, tp + fn AS s FROM counts),
+rows AS (SELECT * FROM per UNION ALL {_MACRO}
+  UNION ALL SELECT 'weighted avg', sum(p * s) / sum(s), sum(r * s) / sum(s), sum(f * s) / sum(s), sum(s) FROM per
+  UNION ALL SELECT 'micro avg', sum(tp) / (sum(tp) + sum(fp)), sum(tp) / (sum(tp) + sum(fn)), 2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), sum(tp) + sum(fn) FROM counts)
+SELECT type, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1, CAST(s AS BIGINT) AS support, (SELECT count(*) FROM ({fixtures.SAMPLES})) AS n_samples FROM rows""",
+)
+def evaluation_run(spark, sf_dir):
+    found = metrics.evaluate(_aligned(spark, sf_dir), "truth", "predicted", bio.HYBRID_TYPES)
+    return found.select("type", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")), "support", "n_samples")
+
+
 @query("latency_percentiles", "SELECT round(quantile_cont(value, 0.5), 2) AS p50_ms, round(quantile_cont(value, 0.95), 2) AS p95_ms, round(quantile_cont(value, 0.99), 2) AS p99_ms, round(avg(value), 2) AS mean_ms, round(max(value), 2) AS max_ms FROM events")
 def latency_percentiles(spark, sf_dir):
     return metrics.latency(spark.read.parquet(f"{sf_dir}/events.parquet"), "value")
@@ -219,6 +253,17 @@ def gate_checks(spark, sf_dir):
     return found.select(*metrics.gates(F.col("max_delta"), F.lit(120.5), F.lit(32.0), F.lit(20.0)))
 
 
+#: Exports of a model made from the events of one user each.
+_EXPORTS = "SELECT user_id, CAST(count(*) * 20 AS DOUBLE) AS size_mb, max(value) AS slow_ms, min(CASE WHEN event_id % 11 = 0 THEN 0 ELSE value END) AS fast_ms FROM events GROUP BY user_id"
+
+
+@query("gates_by_export", f"SELECT user_id, 0.00005 < 0.0001 AS parity_ok, size_mb <= 300 AS size_ok, CASE WHEN fast_ms > 0 THEN round(slow_ms / fast_ms, 4) END AS speed_up FROM ({_EXPORTS})")
+def gates_by_export(spark, sf_dir):
+    """Gates over one row a user, on both sides of each bound, a divisor of 0 among them."""
+    parity, size, speed = metrics.gates(F.lit(0.00005), F.col("size_mb"), F.col("slow_ms"), F.col("fast_ms"))
+    return fixture(spark, sf_dir, _EXPORTS).select("user_id", parity, size, F.round(speed, 4).alias("speed_up"))
+
+
 @query("argmax_labels", "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS predicted, label FROM embeddings WHERE label % 5 <> 0")
 def argmax_labels(spark, sf_dir):
     df = _logits(spark, sf_dir)
@@ -249,6 +294,14 @@ def synth_misaligned(spark, sf_dir):
     return synth.misaligned(synth.generate(spark, _N)).select("id")
 
 
+@query("misaligned_samples", f"SELECT id FROM (SELECT range AS id FROM range({_N})) WHERE id % 7 = 3")
+def misaligned_samples(spark, sf_dir):
+    """The alignment check on samples of which every seventh has lost its last tag."""
+    made = synth.generate(spark, _N)
+    cut = F.when(F.col("id") % 7 == 3, F.slice("ner_tags", F.lit(1), F.size("ner_tags") - 1)).otherwise(F.col("ner_tags"))
+    return synth.misaligned(made.withColumn("ner_tags", cut)).select("id")
+
+
 @query("laplace_noise")
 def laplace_noise(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", synth.laplace(1.0, 42).alias("noise"))
@@ -308,7 +361,7 @@ def stream_rate_limit(spark, sf_dir):
     return events.run_available(events.rate_limit(_stream(log, "log"), rate=1 / 3600, burst=5.0), "rate-limit")
 
 
-@query("documents_by_type", None)
+@query("documents_by_type", f"WITH RECURSIVE {_DETECTED} SELECT entity_type, count(*) AS n, round(avg(score), 4) AS mean_score FROM merged GROUP BY entity_type")
 def documents_by_type(spark, sf_dir):
     """Entities of whole documents by type, with the mean score; a report over the corpus."""
     found = redact.detect_entities(documents(spark, sf_dir)).select(F.explode_outer("entities").alias("e")).where("e IS NOT NULL")
