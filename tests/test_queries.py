@@ -10,7 +10,7 @@ from quillguard.plans import catalogue
 from quillguard.sources import files
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages conversations".split()
-FEW = ["redact_documents", "merge_spans", "hybrid_detect", "chunk_counts", "request_text", "response_text", "delta_text", "align_bio", "ner_report", "latency_percentiles", "safe_view", "stream_unmask", "stream_request_count", "conversation_token_numbering", "synth_samples"]
+FEW = ["redact_documents", "merge_spans", "hybrid_detect", "chunk_counts", "request_text", "response_text", "delta_text", "align_bio", "ner_report", "latency_percentiles", "safe_view", "stream_unmask", "stream_request_count", "conversation_token_numbering", "synth_samples", "evaluation_run", "documents_by_type", "gates_by_export", "misaligned_samples"]
 
 
 @pytest.mark.parametrize("name", FEW)
