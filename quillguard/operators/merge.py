@@ -15,6 +15,10 @@ from ..functions.patterns import STRUCTURED
 from ..schemas import SPANS
 
 
+#: Spans of a text for which a plain pass is cheaper than one made for any number.
+FEW = 64
+
+
 def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
@@ -44,13 +48,15 @@ def merge(model: Column, regex: Column) -> Column:
             candidate_wins(last, c), F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), c)
         ).otherwise(acc)
 
+    fold = lambda part: F.aggregate(part, F.array().cast(SPANS), step)
+
     def clusters(z: Column) -> Column:
         before = running_max(F.transform(z, lambda c: c["s"]["end"]))
         opens = F.filter(F.zip_with(F.transform(z, lambda c, i: F.struct(i.alias("i"), c["a"].alias("a"))), before, lambda c, end: F.when(c["a"] >= end, c["i"])), lambda i: i.isNotNull())
         cut = lambda of: F.transform(of, lambda i, k: F.slice(z, i + 1, F.coalesce(F.get(of, k + 1), F.size(z)) - i))
-        return F.flatten(F.transform(let(opens, cut), lambda part: F.aggregate(part, F.array().cast(SPANS), step)))
+        return F.flatten(F.transform(let(opens, cut), fold))
 
-    return let(F.array_sort(keyed), clusters)
+    return let(F.array_sort(keyed), lambda z: F.when(F.size(z) <= FEW, fold(z)).otherwise(clusters(z)))
 
 
 def merge_if_found(model: Column, regex: Column) -> Column:

@@ -9,7 +9,7 @@ from ..config import EngineConfig
 from ..functions.arrays import let, pieces
 from ..functions.spans import detect_all
 from ..schemas import SPANS
-from .merge import merge_if_found
+from .merge import FEW, merge_if_found
 
 _ENTRIES = "array<struct<token:string,original:string>>"
 
@@ -40,7 +40,7 @@ def numbered(entities: Column) -> Column:
     def chosen(es: Column) -> Column:
         starts = F.transform(es, lambda e: e["start"])
         ordered = let(starts, lambda s: (F.array_sort(s) == s) & (F.size(F.array_distinct(s)) == F.size(s)))
-        return F.when(ordered, by_type(es)).otherwise(any_order(es))
+        return F.when((F.size(es) > FEW) & ordered, by_type(es)).otherwise(any_order(es))
 
     return let(entities, chosen)
 
