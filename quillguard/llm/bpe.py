@@ -20,7 +20,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ from .common import frugal
 MEMORY = 60_000
 #: White space as the library's pattern engine has it.
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Alternatives of a pattern of words that match no white space.
+_SPACELESS = re.compile(r"'[a-z]+|\[\\p\{[LN]\}\]\+?|\[\^\\s(\\p\{[LN]\})*\]\+?")
 
 
 def byte_letters() -> list[str]:
@@ -61,6 +64,25 @@ class _Recent(dict):
         return value
 
 
+def _ascii_normaliser(spec: dict | None, pattern: str) -> Callable[[str], str] | None:
+    """A function that leaves an ASCII text with the words it has after the file's normaliser,
+    or nothing if these steps are not known to be so simple.
+
+    Composition leaves ASCII as it is.  Runs of white space turned to one space make no
+    difference where no word can hold white space: each alternative of the pattern is a
+    contraction, letters, numbers, or a class that excludes white space."""
+    steps = (spec or {}).get("normalizers", [spec] if spec else [])
+    joins_spaces = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    spaceless = all(_SPACELESS.fullmatch(a) for a in pattern.split("|"))
+    lowers = False
+    for step in steps:
+        if step["type"] == "Lowercase":
+            lowers = True
+        elif step["type"] not in ("NFC", "NFKC", "NFD", "NFKD") and not (step == joins_spaces and spaceless):
+            return None
+    return str.lower if lowers else str
+
+
 class Codec:
     """Encoder and decoder of one tokenizer file, given as its text."""
 
@@ -82,9 +104,11 @@ class Codec:
             self.tokens[i] = content
         if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
             raise ValueError("added tokens must match literally")
-        self.normalise = Tokenizer.from_str(file).normalizer.normalize_str
+        normaliser = Tokenizer.from_str(file).normalizer
+        self.normalise = normaliser.normalize_str if normaliser else str
         pattern = steps[0]["pattern"]["Regex"]
         self.words = regex.compile(pattern.replace("\\s", _WHITE)).findall
+        self.ascii = _ascii_normaliser(spec.get("normalizer"), pattern) or self.normalise
         self.specials = regex.compile("|".join(sorted(map(regex.escape, self.added), key=len, reverse=True))) if self.added else None
         self.letters = byte_letters()
         mark = model.get("end_of_word_suffix") or ""
@@ -120,8 +144,8 @@ class Codec:
 
     def _plain(self, text: str) -> bytes:
         known = self.known
-        low = text.lower() if text.isascii() else self.normalise(text)
-        return b"".join([known[w] for w in self.words(low)])
+        plain = self.ascii(text) if text.isascii() else self.normalise(text)
+        return b"".join([known[w] for w in self.words(plain)])
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -148,7 +172,10 @@ def _codec(name: str, cache: dict = {}) -> Codec:  # noqa: B006
 
 
 def _shipped(df: DataFrame, tokenizer: str) -> str:
-    """The tokenizer file is sent to every executor once; gives the name it has there."""
+    """The tokenizer file is sent to every executor once; gives the name it has there.
+
+    Spark refuses a second file of that name with other contents, so within an application a
+    name stands for one file, and workers may remember its codec by name."""
     df.sparkSession.sparkContext.addFile(tokenizer)
     return tokenizer.rstrip("/").rsplit("/", 1)[-1]
 

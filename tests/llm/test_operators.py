@@ -1,6 +1,7 @@
 """Each operator against a plain version, and its defined results on odd rows."""
 
 import hashlib
+import json
 import random
 import re
 import struct
@@ -688,6 +689,37 @@ def test_bpe_equals_the_library_on_random_strings(library):
         assert codec.decode(codec.encode(text)) == library.decode(want, skip_special_tokens=False)
 
 
+LOWER = {"type": "Lowercase"}
+NORMALISERS = {
+    "none": None,
+    "one step": LOWER,
+    "composed": {"type": "Sequence", "normalizers": [{"type": "NFC"}]},
+    "letters": {"type": "Sequence", "normalizers": [{"type": "Replace", "pattern": {"String": "a"}, "content": "zb"}, LOWER]},
+    "before": {"type": "Sequence", "normalizers": [{"type": "Prepend", "prepend": "Q"}, LOWER]},
+}
+
+
+@pytest.mark.parametrize("kind", NORMALISERS)
+def test_bpe_follows_the_normaliser_of_the_file(kind):
+    from tokenizers import Tokenizer
+
+    spec = json.loads(open(bpe.word_bpe_path(), encoding="utf-8").read())
+    spec["normalizer"] = NORMALISERS[kind]
+    file = json.dumps(spec)
+    codec, other = bpe.Codec(file), Tokenizer.from_str(file)
+    for text in ("Anna's CAB ran\tFAST, 12 times", "Été À LA carte", "a", "  A  "):
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == other.encode(text, add_special_tokens=False).ids
+
+
+def test_ascii_path_only_for_known_steps():
+    spec = json.loads(open(bpe.word_bpe_path(), encoding="utf-8").read())
+    pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+    assert bpe._ascii_normaliser(spec["normalizer"], pattern) is str.lower
+    assert bpe._ascii_normaliser(spec["normalizer"], pattern + "| ?[a-z]+") is None
+    assert bpe._ascii_normaliser(None, pattern) is str
+    assert bpe._ascii_normaliser({"type": "Strip"}, pattern) is None
+
+
 def test_forced_boundaries_cut_where_no_token_reaches():
     codec = bpe.Codec(open(bpe.word_bpe_path(), encoding="utf-8").read())
     back = {c: b for b, c in enumerate(codec.letters)}
