@@ -31,13 +31,19 @@ class DetectorConfig:
 
 @dataclass(frozen=True)
 class EngineConfig:
-    """The whole engine: detectors, entity model, chunking."""
+    """The whole engine: detectors, entity model, chunking.
+
+    Model id, device and aggregation of subwords are for the provider of an entity model, which
+    gets the configuration if its loader takes an argument."""
 
     detectors: DetectorConfig = field(default_factory=DetectorConfig)
     model_threshold: float = 0.90
     chunk_size: int = 1500
     enable_patterns: bool = True
     label_adapter: Mapping[str, str] | None = None
+    model_id: str = ""
+    device: str = "cpu"
+    aggregation: str = "simple"
 
 
 @dataclass(frozen=True)

@@ -96,6 +96,14 @@ def evaluate(df: DataFrame, truth: str, predicted: str, types: tuple[str, ...],
     return report(entity_counts(kept, truth, predicted, key)).join(F.broadcast(samples))  # one row
 
 
+def histogram(df: DataFrame, value: str, bounds: tuple[float, ...]) -> DataFrame:
+    """(le, n): values at or under each bound, as a cumulative histogram has them, the last row
+    without a bound; one pass with partial counts."""
+    at_most = [F.count_if(F.col(value) <= b) for b in bounds] + [F.count(value)]
+    rows = df.agg(*(c.alias(f"n{i}") for i, c in enumerate(at_most)))
+    return rows.select(F.explode(F.array(*(F.struct(F.lit(b).cast("double").alias("le"), F.col(f"n{i}").alias("n")) for i, b in enumerate((*bounds, None))))).alias("h")).select("h.*")
+
+
 def logit_parity(df: DataFrame, a: str, b: str) -> DataFrame:
     """Largest and mean over samples of each sample's largest absolute difference."""
     delta = F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))))

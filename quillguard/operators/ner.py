@@ -7,6 +7,7 @@ of hit lists; it is loaded once per Python worker, and a missing one fails the j
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from inspect import signature
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -53,13 +54,14 @@ def needs_adapter(labels: Column) -> Column:
 _HITS = "id long, n long, offset int, word string, entity_group string, score double, start int, end int"
 
 
-def detect_with_model(df: DataFrame, load: Callable[[], Callable[[list[str]], list[list[dict]]]], key: str = "id", text: str = "text", config: EngineConfig = EngineConfig()) -> DataFrame:
+def detect_with_model(df: DataFrame, load: Callable[..., Callable[[list[str]], list[list[dict]]]], key: str = "id", text: str = "text", config: EngineConfig = EngineConfig()) -> DataFrame:
     """(key, spans): chunks of each text through the provider, offsets moved back, hits of
-    overlapping chunks merged."""
+    overlapping chunks merged.  ``load`` gives the provider; it takes nothing or the configuration."""
+    given = (config,) if signature(load).parameters else ()
     parts = df.select(F.col(key).cast("long").alias("id"), F.posexplode(chunks(F.coalesce(text, F.lit("")), config.chunk_size)).alias("n", "c"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        provider = load()
+        provider = load(*given)
         if provider is None:
             raise RuntimeError("no entity model is loaded")
         for batch in batches:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import detection, evaluation  # noqa: F401  evaluation adds its queries to the registry
+from . import corpus, detection, evaluation  # noqa: F401  corpus and evaluation add their queries to the registry
 
 QUERIES: dict = detection.QUERIES
 ORACLE_SQL: dict[str, str] = detection.ORACLE_SQL

@@ -110,14 +110,15 @@ _REGEX_ONLY = _REGEX_CAND.format(sql.all_detected(fixtures.SAMPLES))
 _JOINED = "string_agg(tag, ' ' ORDER BY pos)"
 
 
-def _aligned(spark, sf_dir):
-    """Every sample with word tags of patterns only (truth) and of patterns with model hits."""
+def _aligned(spark, sf_dir, *keep):
+    """Every sample with word tags of patterns only (truth) and of patterns with model hits, and
+    the columns ``keep``."""
     hits = fixture(spark, sf_dir, fixtures.HITS).withColumnRenamed("stop", "end").withColumn("word", F.lit("w"))
     df = samples(spark, sf_dir)
     df = redact.detect_entities(df).withColumnRenamed("entities", "own")
     df = df.join(ner.hits_to_spans(hits, key="id", order="n", config=redact.EngineConfig()), "id", "left")
     df = df.withColumn("both", redact.merge_if_found(F.coalesce("spans", F.array().cast(ner.SPANS)), F.col("own")))
-    return df.select("id", bio.align(_tokens(), F.col("own")).alias("truth"), bio.align(_tokens(), F.col("both")).alias("predicted"))
+    return df.select("id", *keep, bio.align(_tokens(), F.col("own")).alias("truth"), bio.align(_tokens(), F.col("both")).alias("predicted"))
 
 
 #: The SQL still leaves out samples in which the patterns found nothing; the queries do not.
