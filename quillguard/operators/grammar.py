@@ -86,6 +86,10 @@ GRAMMAR: dict[str, list[list[str]]] = {
 }
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def _words(template: str) -> list[tuple[str, str | None, str]]:
     """(before, value name or None, after) of each word of a template."""
     out = []
@@ -123,21 +127,20 @@ def labelled_corpus(spark: SparkSession, n: int) -> DataFrame:
     made = spark.range(n).withColumn("family", _family(F.lit(n).cast("double")))
     # Each value once, as a column that the templates name: the plan stays small.
     made = made.select("id", "family", *(F.expr(value).alias(f"_{name}") for name, (_, value) in GRAMMAR_VALUES.items()))
-    text = pairs = None
+    texts, pairs = [], []
     for family, second, two, i, k, template in _branches():
         parts, named = [], []
         for at, (before, name, after) in enumerate(_words(template)):
-            parts.append(F.lit(" " * (at > 0) + before))
+            parts.append(_quoted(" " * (at > 0) + before))
             if name:
-                kind, value = GRAMMAR_VALUES[name][0], F.col(f"_{name}")
-                parts.append(value)
-                if kind:
-                    named.append(F.struct(value.alias("surface"), F.lit(kind).alias("type")))
-            parts.append(F.lit(after))
-        when = F.expr(_when(family, second, two, i, k))
-        text = F.when(when, F.concat(*parts)) if text is None else text.when(when, F.concat(*parts))
-        pairs = F.when(when, F.array(*named)) if pairs is None else pairs.when(when, F.array(*named))
-    made = made.withColumn("text", text).withColumn("_e", pairs).withColumn("_l", label_tokens(F.col("text"), F.col("_e")))
+                parts += [f"_{name}", _quoted(after)]
+                if kind := GRAMMAR_VALUES[name][0]:
+                    named.append(f"named_struct('surface', _{name}, 'type', '{kind}')")
+        when = _when(family, second, two, i, k)
+        texts.append(f"WHEN {when} THEN concat({', '.join(parts)})")
+        pairs.append(f"WHEN {when} THEN array({', '.join(named)})")
+    made = made.withColumn("text", F.expr(f"CASE {' '.join(texts)} END")).withColumn("_e", F.expr(f"CASE {' '.join(pairs)} END"))
+    made = made.withColumn("_l", label_tokens(F.col("text"), F.col("_e")))
     tags = F.transform("_l", lambda z: z["tag"])
     return made.select("id", "family", "text", F.transform("_l", lambda z: z["token"]).alias("tokens"), tags.alias("ner_tag_labels"), tag_ids(tags).alias("ner_tags"))
 
@@ -149,17 +152,16 @@ def corpus_sql(n: str) -> str:
     for name, share in SHARES.items():
         low.append(f"CAST(floor({n} * CAST({share} AS DOUBLE)) AS BIGINT)")
         cases.append(f"WHEN id < {' + '.join(low)} THEN '{name}'")
-    quoted = lambda s: "'" + s.replace("'", "''") + "'"
     tokens, tags = [], []
     for family, second, two, i, k, template in _branches():
         t, g = [], []
         for before, name, after in _words(template):
             if not name:
-                t.append(f"[{quoted(before)}]")
+                t.append(f"[{_quoted(before)}]")
                 g.append("['O']")
                 continue
             kind, value = GRAMMAR_VALUES[name]
-            t.append(f"string_split({quoted(before)} || ({value}) || {quoted(after)}, ' ')")
+            t.append(f"string_split({_quoted(before)} || ({value}) || {_quoted(after)}, ' ')")
             length = f"len(string_split(({value}), ' '))"
             g.append(f"list_concat(['B-{kind}'], list_transform(range(1, {length}), lambda q: 'I-{kind}'))" if kind else f"list_transform(range({length}), lambda q: 'O')")
         when = _when(family, second, two, i, k)

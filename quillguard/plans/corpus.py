@@ -26,7 +26,7 @@ def label_corpus(spark, sf_dir):
 
 @query("label_corpus_counts", f"SELECT family, substr(tag, 3) AS entity_type, count(*) AS n FROM (SELECT family, unnest(tags) AS tag FROM ({_CORPUS})) WHERE tag LIKE 'B-%' GROUP BY ALL")
 def label_corpus_counts(spark, sf_dir):
-    tags = _corpus(spark, sf_dir).select("family", F.explode("ner_tag_labels").alias("tag")).where(F.col("tag").startswith("B-"))
+    tags = _corpus(spark, sf_dir).select("family", F.explode_outer("ner_tag_labels").alias("tag")).where(F.col("tag").startswith("B-"))
     return tags.groupBy("family", F.substring("tag", 3, 99).alias("entity_type")).agg(F.count("*").alias("n"))
 
 
