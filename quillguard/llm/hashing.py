@@ -43,6 +43,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 #: Bytes, and windows, that are hashed at a time.
 PIECE = 1 << 20
+#: Bytes of short texts that are hashed together.
+GROUP = 1 << 17
 _POWERS: list[np.ndarray] = []
 
 
@@ -84,6 +86,19 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
+def _word_sums(part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets [start, end) of the words of at most ``PIECE`` bytes, their sums and lengths."""
+    starts, ends = word_spans(part)
+    power, inverse = _powers(len(part))
+    running = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum(_BYTE[part] * power[: len(part)], out=running[1:])
+    return starts, ends, (running[ends] - running[starts]) * inverse[starts], (ends - starts).astype(np.uint64)
+
+
+def _word_hash(sums: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    return mix(sums ^ (lengths * np.uint64(0xD6E8FEB86659FD93)))
+
+
 def word_hashes(text: str | bytes | None, lower: bool = False) -> np.ndarray:
     """One 64-bit hash per word of a whole text, given as UTF-8 or not (none for null)."""
     if not text:
@@ -94,11 +109,7 @@ def word_hashes(text: str | bytes | None, lower: bool = False) -> np.ndarray:
         part = data[at : at + PIECE]
         if lower:
             part = _LOWER[part]
-        starts, ends = word_spans(part)
-        power, inverse = _powers(len(part))
-        running = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTE[part] * power[: len(part)], out=running[1:])
-        sums, lengths = (running[ends] - running[starts]) * inverse[starts], (ends - starts).astype(np.uint64)
+        starts, ends, sums, lengths = _word_sums(part)
         if width:
             if len(starts) and starts[0] == 0:
                 sums[0] = np.uint64((open_ + int(sums[0]) * pow(_BASE, width, 1 << 64)) & _MASK)
@@ -109,10 +120,37 @@ def word_hashes(text: str | bytes | None, lower: bool = False) -> np.ndarray:
         if at + PIECE < len(data) and len(ends) and ends[-1] == len(part):
             open_, width = int(sums[-1]), int(lengths[-1])
             sums, lengths = sums[:-1], lengths[:-1]
-        out.append(mix(sums ^ (lengths * np.uint64(0xD6E8FEB86659FD93))))
+        out.append(_word_hash(sums, lengths))
     return np.concatenate(out) if len(out) > 1 else out[0]
 
 
+def groups(texts: list[bytes]) -> Iterator[slice]:
+    """Consecutive texts of at most ``GROUP`` bytes together; a longer text is alone."""
+    start, size = 0, 0
+    for i, text in enumerate(texts):
+        if size + len(text) + 1 > GROUP and i > start:
+            yield slice(start, i)
+            start, size = i, 0
+        size += len(text) + 1
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
+def word_hashes_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`word_hashes` of the texts of a group, one after the other, and where each text's
+    begin, with the end of the last."""
+    if len(texts) == 1:
+        h = word_hashes(texts[0])
+        return h, np.array([0, len(h)])
+    data = np.frombuffer(b" ".join(texts), np.uint8)
+    at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    if len(data) > PIECE:
+        found = [word_hashes(t) for t in texts]
+        return np.concatenate(found), np.cumsum([0, *map(len, found)])
+    starts, _, sums, lengths = _word_sums(data)
+    return _word_hash(sums, lengths), np.searchsorted(starts, at)
+
+
 def window_hashes(words: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     """One 64-bit hash for each run of ``width`` consecutive words."""
     n = len(words) - width + 1
@@ -137,6 +175,18 @@ def sequence_hash(words: np.ndarray, seed: int = 0) -> int:
     return int(mix(total).view(np.int64)[0])
 
 
+def sequence_hashes(words: np.ndarray, at: np.ndarray, seed: int = 0) -> np.ndarray:
+    """:func:`sequence_hash` of each text, given the words of all and where each text's begin."""
+    if len(at) == 2:
+        return np.array([sequence_hash(words, seed)])
+    n = np.diff(at)
+    place = mix(np.arange(max(n), dtype=np.uint64) * np.uint64(2) + np.uint64(_splitmix(seed) | 1)) | np.uint64(1)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * place[np.arange(len(words)) - np.repeat(at[:-1], n)], out=sums[1:])
+    begun = mix(n.astype(np.uint64) + np.uint64((seed + 0x9E3779B97F4A7C15) & _MASK))
+    return mix(begun + sums[at[1:]] - sums[at[:-1]]).view(np.int64)
+
+
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct hashes of a text's ``width``-word shingles, ASCII case folded.
 

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, frugal, least_of_group, ordered
-from .hashing import pieces, sequence_hash, window_hashes, word_hashes, word_spans
+from .hashing import groups, pieces, sequence_hashes, window_hashes, word_hashes, word_hashes_of, word_spans
 from .neardup import repeats
 
 WIDTH, ANCHOR = 13, 5
@@ -51,11 +51,16 @@ _PLACE = 30
 _NODE_SEED, _EDGE_SEED, _ANCHOR_SEED, _TEXT_SEED = 11, 12, 13, 14
 
 
-def _bytes(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass")
+def _bytes(text: str | bytes | None) -> bytes:
+    return text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
 
 
-def _joined_digest(text: str | None) -> str:
+def _texts(column: pa.Array) -> list[bytes]:
+    """Texts as UTF-8, empty for null."""
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+
+
+def _joined_digest(text: str | bytes | None) -> str:
     """SHA-256 of a text's words joined by one space."""
     digest, between = hashlib.sha256(), b""
     for piece in pieces(_bytes(text)):
@@ -67,36 +72,77 @@ def _joined_digest(text: str | None) -> str:
 
 
 def _minimisers(words: np.ndarray, width: int, anchor: int) -> np.ndarray:
-    runs = window_hashes(words, anchor, _ANCHOR_SEED)
-    n = len(words) - width + 1
-    out = runs[:n].copy()
-    for k in range(1, width - anchor + 1):
-        np.minimum(out, runs[k : k + n], out=out)
+    out = window_hashes(words, anchor, _ANCHOR_SEED)
+    n, runs = len(words) - width + 1, width - anchor + 1
+    if n <= 0:
+        return out[:0]
+    # The least of ``done`` runs, for twice as many each time; the last step overlaps.
+    done = 1
+    while done < runs:
+        step = min(done, runs - done)
+        out = np.minimum(out[:-step], out[step:])
+        done += step
     return out
 
 
+def _windows(h: np.ndarray, at: np.ndarray, width: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """Of the windows that lie within one text, given the words of all texts: first word, text,
+    minimiser, and whether that is another than the text's window before has."""
+    m = _minimisers(h, width, anchor)
+    owner = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
+    pos, owner_of = np.arange(len(m)), owner[: len(m)]
+    if len(at) > 2 and len(m):
+        pos = np.flatnonzero(owner_of == owner[width - 1 :])
+        m, owner_of = m[pos], owner_of[pos]
+    return pos, owner_of, m, _changes(m, owner_of)
+
+
+def _changes(value: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which (value, owner) differ from those before them."""
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+    return new
+
+
 def _first_pass(width: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, one, two, digest, anchors = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                h = word_hashes(text)
-                n.append(len(h))
-                full = len(h) >= width
-                one.append(sequence_hash(h, _TEXT_SEED) if full else 0)
-                two.append(sequence_hash(h, _TEXT_SEED + 1) if full else 0)
-                digest.append(_joined_digest(text))
-                anchors.append(np.unique(_minimisers(h, width, anchor)).view(np.int64) if full else np.zeros(0, np.int64))
-            at = np.concatenate([[0], np.cumsum([len(a) for a in anchors])]).astype(np.int32)
-            flat = np.concatenate(anchors) if anchors else np.zeros(0, np.int64)
+            texts = _texts(batch.column(1))
+            none = np.zeros(0, np.int64)
+            n, one, two, sizes, anchors = [none], [none], [none], [none], [none]
+            for part in groups(texts):
+                h, at = word_hashes_of(texts[part])
+                count = np.diff(at)
+                full = count >= width
+                n.append(count)
+                one.append(np.where(full, sequence_hashes(h, at, _TEXT_SEED), 0))
+                two.append(np.where(full, sequence_hashes(h, at, _TEXT_SEED + 1), 0))
+                _, owner, m, new = _windows(h, at, width, anchor)
+                m, owner = m[new], owner[new]
+                order = np.lexsort((m, owner))
+                m, owner = m[order], owner[order]
+                new = _changes(m, owner)
+                anchors.append(m[new].view(np.int64))
+                sizes.append(np.bincount(owner[new], minlength=len(count)))
+            ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(digest, pa.string()), pa.ListArray.from_arrays(at, flat)],
+                [batch.column(0), batch.column(2), *(pa.array(np.concatenate(c), pa.int64()) for c in (n, one, two)), pa.array(map(_joined_digest, texts), pa.string()), pa.ListArray.from_arrays(ends, np.concatenate(anchors))],
                 names=["doc_id", "rep", "n_words", "one", "two", "digest", "anchors"],
             )
 
     return run
 
 
+def _first_of_text(edge: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which windows, in order of place, are the first of their text with their hash."""
+    first = np.ones(len(edge), bool)
+    found = np.sort(edge)
+    twice = np.flatnonzero(np.isin(edge, found[1:][found[1:] == found[:-1]]))
+    order = twice[np.lexsort((edge[twice], owner[twice]))]  # stable: places stay in order
+    first[order] = _changes(edge[order], owner[order])
+    return first
+
+
 def _edges(width: int, anchor: int):
     """(num, lead, text, anchors) -> one row per distinct candidate window of each document:
     its place, the number of the first text with the same doc_id, tail, edge and head."""
@@ -104,22 +150,27 @@ def _edges(width: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["place", "lead", "tail", "edge", "head"]
         for batch in batches:
-            wanted = batch.column(3)
-            for i, (num, lead, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)))):
-                h = word_hashes(text)
-                if len(h) >> _PLACE or num >> 33:
+            texts, wanted = _texts(batch.column(2)), batch.column(3)
+            num, lead = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            for part in groups(texts):
+                h, at = word_hashes_of(texts[part])
+                if (np.diff(at) >> _PLACE).any() or (num[part] >> 33).any():
                     raise ValueError("a text of more than 2**30 words, or more than 2**33 documents")
-                m = _minimisers(h, width, anchor)
-                repeated = np.asarray(wanted[i].values.to_numpy(zero_copy_only=False)).view(np.uint64)
-                pos = np.flatnonzero(np.isin(m, repeated))
+                pos, owner, m, new = _windows(h, at, width, anchor)
+                # A minimiser that one text has wanted is wanted in each text that has it.
+                repeated = wanted.slice(part.start, part.stop - part.start).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                which = np.cumsum(new, dtype=np.int32)
+                which -= 1
+                chosen = np.isin(m[new], repeated)[which]
+                pos, owner = pos[chosen], owner[chosen]
                 if not len(pos):
                     continue
                 edge = window_hashes(h, width, _EDGE_SEED)[pos]
-                _, at = np.unique(edge, return_index=True)
-                at.sort()
-                pos, edge = pos[at], edge[at]
+                first = _first_of_text(edge, owner)
+                pos, owner, edge = pos[first], owner[first], edge[first]
                 node = window_hashes(h, width - 1, _NODE_SEED)
-                cols = [(num << _PLACE) + pos.astype(np.int64), np.full(len(pos), lead, np.int64), node[pos].view(np.int64), edge.view(np.int64), node[pos + 1].view(np.int64)]
+                place = (num[part][owner] << _PLACE) + pos - at[owner]
+                cols = [place, lead[part][owner], node[pos].view(np.int64), edge.view(np.int64), node[pos + 1].view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
     return run

@@ -304,6 +304,34 @@ def test_spans_name_their_source(spark):
         assert bytes(s["digest"]) == hashlib.sha256(" ".join(shared.split()).encode()).digest()
 
 
+@pytest.mark.parametrize("group", [1, 300, 1 << 17])
+def test_short_texts_are_hashed_together(monkeypatch, group):
+    import pyarrow as pa
+
+    texts = ["", prose(1, 12), prose(2, 13), " ", prose(3, 40) + "\n" + prose(2, 30), prose(2, 30) + " " + prose(2, 30), "x " * 40, "é中😀 " * 15, prose(4, 200), ""]
+    monkeypatch.setattr(hashing, "GROUP", group)
+    data = [t.encode() for t in texts]
+    parts = list(hashing.groups(data))
+    assert [k for p in parts for k in range(p.start, p.stop)] == list(range(len(texts))) and len(parts) == {1: 10, 1 << 17: 1}.get(group, len(parts))
+    for p in parts:
+        h, at = hashing.word_hashes_of(data[p])
+        assert [h[a:b].tolist() for a, b in zip(at, at[1:])] == [hashing.word_hashes(t).tolist() for t in texts[p]]
+        assert hashing.sequence_hashes(h, at, 5).tolist() == [hashing.sequence_hash(hashing.word_hashes(t), 5) for t in texts[p]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(texts), pa.array([0] * 10)], names=["doc_id", "text", "rep"])
+    anchors = next(substring._first_pass(13, 5)(iter([batch])))["anchors"]
+    for t, found in zip(texts, anchors.to_pylist()):
+        runs = hashing.window_hashes(hashing.word_hashes(t), 5, substring._ANCHOR_SEED)
+        assert sorted(a % 2**64 for a in found) == sorted({int(runs[k : k + 9].min()) for k in range(len(runs) - 8)})
+    asked = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array([0] * 10), pa.array(texts), anchors], names=["num", "lead", "text", "anchors"])
+    got = list(substring._edges(13, 5)(iter([asked])))
+    assert len(got) <= len(parts)
+    want = []
+    for num, t in enumerate(texts):
+        edge = hashing.window_hashes(hashing.word_hashes(t), 13, substring._EDGE_SEED).view(np.int64).tolist()
+        want += [((num << 30) + k, e) for k, e in enumerate(edge) if e not in edge[:k]]
+    assert [(r["place"], r["edge"]) for b in got for r in b.to_pylist()] == want
+
+
 def test_op3_gives_one_row_for_each_row(spark, tmp_path):
     made = [(1, prose(80, 13) + " a"), (2, "b " + prose(80, 13)), (2, "b " + prose(80, 13)), (2, prose(82, 20)), (3, prose(82, 30)), (3, prose(83, 30))]
     spark.createDataFrame(made, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
