@@ -11,13 +11,14 @@
    order of labels are cut into blocks of bounded rows and bytes, and each block gets the hubs
    of its labels too.  Inside a block's task the pairs with an equal band, a possible size
    ratio and a collision-corrected estimate not clearly too low are compared on their full
-   sets; pairs joined already are skipped, and a task emits a spanning forest of its links.
+   sets; pairs joined already are skipped, and a task emits what its links join as stars
+   around the smallest ids.
    A group of near copies larger than a block is thus joined over its hubs, and costs as many
    rows as it has members.
 4. Only keys whose members still lie in several blocks and several components are left: for
    these, pairs of blocks meet in one task each, with the classes that hold such a key and
    lie outside of its commonest component on one side at least.
-5. Components come from the forests by star contraction in Spark.
+5. Components come from the stars of all tasks by star contraction in Spark.
 
 Defined results: null text, empty text or text without words has an empty set and is linked
 with nothing; each row's text is compared for itself, and rows that share a doc_id are one
@@ -139,7 +140,8 @@ def _unsettled(scratch: Scratch, members: DataFrame, blocks: DataFrame, joined:
 
 
 def _compare(num: int, den: int):
-    """One tile: links with den * |A and B| >= num * |A or B| as a spanning forest."""
+    """One tile: what links with den * |A and B| >= num * |A or B| join, an edge from each
+    component to the smallest of those that it is joined with."""
     share = num / den
     least = share - SIGMAS * (share * (1 - share) / (BANDS * ROWS)) ** 0.5
 
@@ -158,7 +160,8 @@ def _compare(num: int, den: int):
         # Candidates come from sorting each band's keys.  Links join at once, and what earlier
         # steps joined starts so, hence a pair that is joined already is never estimated: a
         # group of near copies costs its members, not its pairs.
-        joined, edges = np.unique(table.column("component").to_numpy(), return_inverse=True)[1], []
+        names, before = np.unique(table.column("component").to_numpy(), return_inverse=True)
+        joined = before.copy()
         tried = np.zeros((len(node), len(node)), bool)  # the square of a block's members and hubs
 
         def link(a: int, others: np.ndarray) -> None:
@@ -172,7 +175,6 @@ def _compare(num: int, den: int):
                 both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
                 if den * both >= num * (int(size[a]) + int(size[b]) - both):
                     joined[joined == joined[b]] = joined[a]
-                    edges.append((int(node[a]), int(node[b])))
 
         for band in range(BANDS):
             by = np.argsort(keys[:, band], kind="stable")
@@ -194,7 +196,11 @@ def _compare(num: int, den: int):
                         link(a, rest[:step])
                         rest, step = rest[step:], 2 * step
                         rest = rest[joined[rest] != joined[a]]
-        return pa.table({"a": pa.array([x for x, _ in edges], pa.int64()), "b": pa.array([y for _, y in edges], pa.int64())})
+        after, first = np.zeros(len(names), np.int64), np.full(len(names), len(names))
+        after[before] = joined
+        np.minimum.at(first, after, np.arange(len(names)))
+        moved = np.flatnonzero(first[after] < np.arange(len(names)))
+        return pa.table({"a": pa.array(names[moved], pa.int64()), "b": pa.array(names[first[after[moved]]], pa.int64())})
 
     return run
 

@@ -11,6 +11,7 @@ import time
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillguard.llm import bpe, chat, classifier, common, embeddings, hashing, mixing, neardup, quality, sharding, substring, warc
@@ -180,6 +181,28 @@ def test_connected_components_of_a_path_and_a_star(spark):
     assert {r["node"]: r["component"] for r in found} == {**{k: 0 for k in range(41)}, **{100 + k: 100 for k in range(30)}}
 
 
+def test_edges_that_are_stars_take_no_round(spark, monkeypatch):
+    written, table = [], common.Scratch.table
+    monkeypatch.setattr(common.Scratch, "table", lambda self, df, name: written.append(name) or table(self, df, name))
+    edges = [(100, 100 + k) for k in range(1, 30)] + [(7, 9), (9, 7), (3, 3)]
+    found = common.connected_components(common.Scratch(spark, "t"), spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(map(tuple, found)) == [(7, 7), (9, 7), *((100 + k, 100) for k in range(30))]
+    assert written == ["edges0"]
+
+
+def test_a_tile_gives_stars():
+    """Links that form a chain come out as edges to the smallest component."""
+    text = [f"w{k}" for k in range(300)]
+    chain = [" ".join([*text[4 * k :], *(f"x{j}" for j in range(4 * k))]) for k in range(12)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12), pa.int64()), pa.array(chain)], names=["doc_id", "text"])
+    n, sketch = (next(neardup._sketches(3)(iter([batch]))).column(c) for c in ("n", "sketch"))
+    sets = next(neardup._sets(3)(iter([batch]))).column("shingles")
+    own = pa.array([50, 3, 3, 20, 20, 60, 61, 62, 63, 64, 65, 66], pa.int64())
+    tile = pa.table({"node": batch.column(0), "side": pa.array([0] * 12), "component": own, "n": n, "sketch": sketch, "shingles": sets})
+    found = neardup._compare(85, 100)(tile)
+    assert sorted(zip(found["a"].to_pylist(), found["b"].to_pylist())) == [(c, 3) for c in sorted({*own.to_pylist()} - {3})]
+
+
 @pytest.mark.parametrize("piece", [5, 64])
 def test_hashes_do_not_depend_on_the_pieces(monkeypatch, piece):
     texts = ["", " ", "a", "ab cd  ef\n" * 30, "é中😀 x" * 20, "longword" * 40 + " b", " c" * 33 + "\t"]
