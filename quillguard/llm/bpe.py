@@ -21,6 +21,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,6 +35,8 @@ from .common import frugal
 
 #: Remembered fragments and words of a Python worker, in each of two generations.
 MEMORY = 60_000
+#: Bytes of a word from which its cuts are looked for by numpy; below, its calls cost more.
+LONG = 64
 #: White space as the library's pattern engine has it.
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Alternatives of a pattern of words that match no white space.
@@ -83,6 +87,14 @@ def _ascii_normaliser(spec: dict | None, pattern: str) -> Callable[[str], str] |
     return str.lower if lowers else str
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Codec:
     """Encoder and decoder of one tokenizer file, given as its text."""
 
@@ -111,6 +123,7 @@ class Codec:
         self.ascii = _ascii_normaliser(spec.get("normalizer"), pattern) or self.normalise
         self.specials = regex.compile("|".join(sorted(map(regex.escape, self.added), key=len, reverse=True))) if self.added else None
         self.letters = byte_letters()
+        self.spelling = dict(enumerate(self.letters))
         mark = model.get("end_of_word_suffix") or ""
         back = {c: b for b, c in enumerate(self.letters)}
         self.adjacent = np.zeros((256, 256), bool)
@@ -118,6 +131,8 @@ class Codec:
             inner = token[: -len(mark)] if mark and token.endswith(mark) else token
             known = [back[c] for c in inner if c in back]
             self.adjacent[known[:-1], known[1:]] = True
+        # Byte before, then byte after: whether they are adjacent in some token.
+        self.follows = [row.tobytes() for row in self.adjacent]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         # The library's merge loop without its word cache; with the mark and without it.
         self.last = models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, end_of_word_suffix=mark or None)
@@ -127,20 +142,27 @@ class Codec:
 
     def cuts(self, data: bytes) -> list[int]:
         """Byte offsets between which no vocabulary token reaches."""
+        if len(data) < LONG:
+            follows = self.follows
+            return [i for i, (a, z) in enumerate(zip(data, data[1:]), 1) if not follows[a][z]]
         b = np.frombuffer(data, np.uint8)
         return (np.flatnonzero(~self.adjacent[b[:-1], b[1:]]) + 1).tolist()
 
     def _fragment(self, key: tuple[bytes, bool]) -> bytes:
         data, last = key
-        spelt = "".join([self.letters[b] for b in data])
-        return np.array([t.id for t in (self.last if last else self.inner).tokenize(spelt)], "<u4").tobytes()
+        spelt = data.decode("latin-1").translate(self.spelling)
+        return _packed([t.id for t in (self.last if last else self.inner).tokenize(spelt)])
 
     def _word(self, word: str) -> bytes:
         data = word.encode("utf-8", "surrogatepass")
-        cuts = [0, *self.cuts(data), len(data)]
-        if len(cuts) == 2:
+        cuts = self.cuts(data)
+        if not cuts:
             return self._fragment((data, True))
-        return b"".join([self.fragments[data[a:z], z == len(data)] for a, z in zip(cuts, cuts[1:])])
+        fragments, at, out = self.fragments, 0, []
+        for cut in cuts:
+            out.append(fragments[data[at:cut], False])
+            at = cut
+        return b"".join([*out, fragments[data[at:], True]])
 
     def _plain(self, text: str) -> bytes:
         known = self.known
@@ -155,7 +177,7 @@ class Codec:
             return self._plain(text)
         out, at = [], 0
         for m in self.specials.finditer(text):
-            out += [self._plain(text[at : m.start()]), np.array([self.added[m.group()]], "<u4").tobytes()]
+            out += [self._plain(text[at : m.start()]), _packed([self.added[m.group()]])]
             at = m.end()
         return b"".join([*out, self._plain(text[at:])])
 

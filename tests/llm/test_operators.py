@@ -771,6 +771,16 @@ def test_ascii_path_only_for_known_steps():
     assert bpe._ascii_normaliser({"type": "Strip"}, pattern) is None
 
 
+def test_cuts_of_short_words_take_no_array(monkeypatch):
+    codec, rnd = bpe.Codec(open(bpe.word_bpe_path(), encoding="utf-8").read()), random.Random(6)
+    words = ["".join(rnd.choice("abqxz#!中ßЖé") for _ in range(rnd.randrange(1, 90))).encode() for _ in range(300)]
+    plain = [[i for i in range(1, len(w)) if not codec.adjacent[w[i - 1], w[i]]] for w in words]
+    assert [codec.cuts(w) for w in words] == plain
+    monkeypatch.setattr(bpe, "np", None)
+    assert [codec.cuts(w) for w in words if len(w) < 60] == [c for w, c in zip(words, plain) if len(w) < 60]
+    assert codec.encode("a word中q and<|endoftext|>")
+
+
 def test_forced_boundaries_cut_where_no_token_reaches():
     codec = bpe.Codec(open(bpe.word_bpe_path(), encoding="utf-8").read())
     back = {c: b for b, c in enumerate(codec.letters)}
